@@ -122,3 +122,44 @@ def without_tags(source: str) -> str:
 
 def visible(part: Part) -> str:
     return without_tags(part.text) if part.kind in ("text/html", "text/enriched", "text/xml") else part.text
+
+
+_QUOTE_BLOCK = re.compile(r"<blockquote\b.*?(?:</blockquote\s*>|\Z)", re.I | re.S)
+_SMALL = re.compile(r"<small\b.*?(?:</small\s*>|\Z)", re.I | re.S)
+_ORIGINAL = re.compile(r"\s*[-_]{3,}\s*(?:original message|forwarded message|ursprüngliche nachricht|message d'origine|mensaje original|元のメッセージ|weitergeleitete nachricht)\s*[-_]{3,}", re.I)
+_RULE = re.compile(r"\s*_{4,}\s*\Z")
+_BAR_QUOTE = re.compile(r"\s*\|(?:\s?[|>])*\s?[^|]*\Z")
+_ATTRIBUTION = re.compile(r".*\d.*:\s*\Z|.*(?:wrote|schrieb|écrit|escribió|書きました)\s*:\s*\Z", re.I)
+
+
+def own_text(entity: str | None) -> str:
+    """What the sender wrote: no header, quotation, greeting, closing, signature, disclaimer or attachment."""
+    inline = [p for p in parts(entity) if not p.attached and p.text.strip()]
+    plain = [p.text for p in inline if p.kind == "text/plain"]
+    text = "\n".join(plain) if plain else "\n".join(without_tags(_SMALL.sub("", _QUOTE_BLOCK.sub("", p.text))) for p in inline)
+    kept: list[str] = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        if line == "--" or _RULE.match(line) or _ORIGINAL.match(line):
+            break
+        start = line.lstrip()
+        if start[:1] == ">" or (start[:1] == "|" and _BAR_QUOTE.match(line)):
+            while kept and not kept[-1]:
+                kept.pop()
+            if kept and _ATTRIBUTION.match(kept[-1]):
+                kept.pop()
+            continue
+        kept.append(start)
+    while kept and not kept[-1]:
+        kept.pop()
+    lines = [k for k, line in enumerate(kept) if line]
+    if len(lines) > 1 and _short(kept[lines[0]], 4) and kept[lines[0]][-1] in ",:!。、，様":
+        kept[lines[0]] = ""
+    closing = [k for k in lines if kept[k]][-2:]
+    if len(closing) == 2 and closing[1] == closing[0] + 1 and (closing[0] == 0 or not kept[closing[0] - 1]) and all(_short(kept[k], 4) for k in closing):
+        kept[closing[0]] = kept[closing[1]] = ""
+    return "\n".join(kept).strip()
+
+
+def _short(line: str, most: int) -> bool:
+    return len(line) <= 48 and len(line.split()) <= most and not any(c in line for c in "#@+|/")

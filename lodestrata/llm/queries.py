@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, tokenizer
+from . import leakage, stuffing, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,21 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails whose own content is mostly a list of keywords, links or product tags."""
+    return stuffing.found(_read(spark, sf_dir, "documents"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees' score of every mail with content, its host's rate and the smoothed score."""
+    return stuffing.scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
+        "p9_found": p9_found,
+        "p9_scores": p9_scores,
     }
