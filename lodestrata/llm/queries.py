@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, stuffing, tokenizer
+from . import leakage, lookalike, stuffing, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents or of findings that look the same but are written with other characters."""
+    return lookalike.pairs(
+        {
+            "corpus_docs": (_read(spark, sf_dir, "corpus_docs"), "corpus_id", "text"),
+            "lint_findings": (_read(spark, sf_dir, "lint_findings"), "finding_id", "excerpt"),
+        }
+    )
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every excerpt."""
+    return lookalike.forms(_read(spark, sf_dir, "lint_findings"), "finding_id", "excerpt").select("finding_id", "form").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -39,6 +54,8 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p6_found": p6_found,
+        "p6_forms": p6_forms,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
