@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Fixed values.  Full-width forms of ASCII follow their originals at a fixed distance.
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
@@ -80,7 +82,9 @@ def pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
         mine = forms(df, id_column, text_column).filter(F.trim("form") != "").filter(F.regexp_like("form", F.lit(r"\S")))
         mine = mine.select(F.lit(name).alias("src_table"), F.col(id_column).cast("bigint").alias("id"), F.sha2("form", 256).alias("form"), F.sha2(text_column, 256).alias("body"))
         rows = mine if rows is None else rows.unionByName(mine)
-    rows = rows.filter("id is not null").distinct()
+    # the digests are read several times below: written once, the texts aren't folded again for each
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.filter("id is not null").distinct().checkpoint()
     key = ["src_table", "form"]
     several = rows.groupBy(*key).agg(F.min("body").alias("x"), F.max("body").alias("y")).filter("x <> y").select(*key)
     rows = rows.join(several, key, "left_semi")

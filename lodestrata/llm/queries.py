@@ -5,14 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import leakage, lookalike, stuffing, tokenizer
+from . import leakage, lookalike, sentences, stuffing, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _corpus_and_lines(spark: SparkSession, sf_dir: str, line_text: str) -> DataFrame:
+    """(src_table, row_id, text) of all documents and of all prepared or raw lines."""
+    docs = _read(spark, sf_dir, "corpus_docs").select(F.lit("corpus_docs").alias("src_table"), F.col("corpus_id").alias("row_id"), "text")
+    lines = _read(spark, sf_dir, "doc_sentences").select(F.lit("doc_sentences").alias("src_table"), F.col("sentence_id").alias("row_id"), F.col(line_text).alias("text"))
+    return docs.unionByName(lines)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the rows that split_sample names."""
+    named = _read(spark, sf_dir, "split_sample").select("src_table", "row_id").distinct()
+    rows = _corpus_and_lines(spark, sf_dir, "raw_text").join(named, ["src_table", "row_id"], "left_semi")
+    return sentences.spans(rows, ["src_table", "row_id"], "text").distinct()
+
+
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document and line."""
+    return sentences.sentences(_corpus_and_lines(spark, sf_dir, "raw_text"), ["src_table", "row_id"], "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents or of findings that look the same but are written with other characters."""
     return lookalike.pairs(
@@ -54,6 +74,8 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": p5_found,
+        "p5_sentences": p5_sentences,
         "p6_found": p6_found,
         "p6_forms": p6_forms,
         "p7_ids": p7_ids,
