@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, sentences, stuffing, tokenizer
+from . import leakage, lookalike, markup, repetition, sentences, stuffing, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structures that stand as markup in each document or line with markup."""
+    return markup.found(_corpus_and_lines(spark, sf_dir, "text"), ["src_table", "row_id"], "text")
+
+
+def p3_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every document and line."""
+    return markup.rendered(_corpus_and_lines(spark, sf_dir, "text"), ["src_table", "row_id"], "text").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a quarter or more of repeated content, and findings whose related lines say the same."""
+    docs, findings = _read(spark, sf_dir, "corpus_docs"), _read(spark, sf_dir, "lint_findings")
+    again = repetition.repetitive(docs, "corpus_id", "text").select(F.lit("corpus_docs").alias("src_table"), "row_id")
+    same = repetition.same_lines(findings, docs).select(F.lit("lint_findings").alias("src_table"), "row_id")
+    return again.unionByName(same)
+
+
+def p4_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document."""
+    docs = _read(spark, sf_dir, "corpus_docs").select("corpus_id", "text").distinct()
+    return repetition.measured(docs, "text").drop("text")
+
+
 def _corpus_and_lines(spark: SparkSession, sf_dir: str, line_text: str) -> DataFrame:
     """(src_table, row_id, text) of all documents and of all prepared or raw lines."""
     docs = _read(spark, sf_dir, "corpus_docs").select(F.lit("corpus_docs").alias("src_table"), F.col("corpus_id").alias("row_id"), "text")
@@ -74,6 +98,10 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_rendered": p3_rendered,
+        "p4_found": p4_found,
+        "p4_measures": p4_measures,
         "p5_found": p5_found,
         "p5_sentences": p5_sentences,
         "p6_found": p6_found,

@@ -91,7 +91,7 @@ def marked(text: Column) -> Column:
     # marks of scripts with case need a gap and no small letter after it
     t = F.regexp_replace(t, r"([.!?…．！？]+" + _CLOSING + r"*)(?=" + _S + r"+(?!" + _S + r"|(?:" + "|".join(_QUOTING.split()) + r")\b)(?:[^\p{Ll}]|[a-z]\p{Lu}))", here)
     t = F.regexp_replace(t, r"(?<=[\x{AC00}-\x{D7A3}])([.!?]+)(?=" + _S + r"+\p{Ll})", here)
-    t = F.regexp_replace(t, r"(?<=\p{Ll}{2})([.!?]+)(?=\p{Lu}\p{Ll})", here)
+    t = F.regexp_replace(t, r"(?<=\p{Ll}{2}|\d|\.m)([.!?]+)(?=\p{Lu}(?:\p{Ll}| \p{Ll}))", here)
     # in Thai a space
     return F.regexp_replace(t, r"(?<=[\x{0E00}-\x{0E7F}])(?= )|(?<=[^ \x{E001}])(?= +[\x{0E00}-\x{0E7F}])", END)
 
