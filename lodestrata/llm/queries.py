@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, markup, repetition, sentences, stuffing, tokenizer
+from . import leakage, lookalike, markup, quality, repetition, sentences, stuffing, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than half is readable running sentences."""
+    return quality.found(_read(spark, sf_dir, "corpus_docs"), "corpus_id", "text")
+
+
+def p2_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document, beside the size and type it was delivered with."""
+    docs = _read(spark, sf_dir, "corpus_docs").select("corpus_id", F.trim(F.lower("corpus_type")).alias("corpus_type"), "char_count", "text").distinct()
+    rows = quality.measured(docs, "text")
+    return rows.withColumn("count_is_length", F.col("char_count") == F.length("text")).drop("text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structures that stand as markup in each document or line with markup."""
     return markup.found(_corpus_and_lines(spark, sf_dir, "text"), ["src_table", "row_id"], "text")
@@ -98,6 +110,8 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_measures": p2_measures,
         "p3_found": p3_found,
         "p3_rendered": p3_rendered,
         "p4_found": p4_found,
