@@ -34,7 +34,7 @@ _ENDS = r"[.!?…](?=[\s\p{Z}\"'”’»)\]]|\z)|[。！？｡।።؟]"
 _UNSPACED = r"[\x{0E00}-\x{0EFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 _GARBLED = r"[ÃÂâãåæçäèéïð][\x{0080}-\x{00BF}\x{2010}-\x{2122}\x{0152}-\x{0178}]|\x{FFFD}"
 #: Lines that are an item, a row of cells or a menu whatever stands around them.
-_ITEM = r"(?s)^\s*(?:[-*•–—→‣▪+]\s|\(?(?:\d{1,3}|[a-z])[.)]\s|\[[ xX]\]).*|.*\t.*\t.*|.*\S {2,}\S+ {2,}\S.*|^\s*\|.*|.*(?: [;|›·/] .*){2,}|^(?:[^\s\p{Z},]*,){2,}[^\s\p{Z},]*$"
+_ITEM = r"^\s*(?:[-*•–—→‣▪+]\s|\(?(?:\d{1,3}|[a-z])[.)]\s|\[[ xX]\]|\|)|\t[^\t]*\t|\S {2,}\S+ {2,}\S| [;|›·/] [^;|›·/]* [;|›·/] |^(?:[^\s\p{Z},]*,){2,}[^\s\p{Z},]*$"
 
 
 def measured(df: DataFrame, text_column: str) -> DataFrame:
