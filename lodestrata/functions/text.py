@@ -7,24 +7,25 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: Scalars of Chinese, Japanese and Korean scripts, as a regex class.
 CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{2FDF}\x{3040}-\x{30FF}\x{3100}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]"
 _CONTROLS = r"\x{0000}-\x{001F}\x{007F}-\x{009F}\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     # one scalar to one scalar, no locale, no final-sigma rule
     return s.map(lambda x: x if x is None else "".join(c.lower() if len(c.lower()) == 1 else c for c in x))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _width(s: pd.Series) -> pd.Series:
     def one(c: str) -> int:
         if unicodedata.combining(c) or unicodedata.category(c) in ("Cc", "Cf", "Mn", "Me"):
@@ -54,7 +55,7 @@ def display_width(c: Column) -> Column:
     return F.when(_non_ascii(c), _width(c)).otherwise(F.length(F.regexp_replace(c, r"[\x00-\x1f\x7f]", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(s: pd.Series, width: pd.Series) -> pd.Series:
     import regex
 

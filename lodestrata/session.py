@@ -35,14 +35,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or str(sc._jsc.sc().getCheckpointDir().get())
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
-def spread(df: DataFrame, per_task: int = 0) -> DataFrame:
-    """Cut a scan of few large row groups into enough tasks for the cores, by hashing all columns' rows round-robin.
 
-    The number follows spark.default.parallelism; a scan that already has as many splits is left alone.
-    """
-    want = per_task or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
