@@ -56,15 +56,16 @@ def _quoted(paragraph: Column) -> Column:
 def masked(text: Column) -> Column:
     """The copy in which every mark that ends no sentence is held back; as long as the text."""
     t = F.translate(text, HELD + END, "xx")
-    t = _hold(t, r"(?<=\d)[.．](?=\d)")
-    t = _hold(t, r"(?<=(?:://|www\.)[^\s<>\"]{0,300})[.!?](?=[^\s<>\"'）)\]。、])")
-    t = _hold(t, r"(?<=(?<![\p{L}\p{N}])" + _any(_TITLES) + r")\.")
-    t = _hold(t, r"(?i)(?<=(?<![\p{L}\p{N}])" + _any(_INNER) + r")\.")
-    t = _hold(t, r"(?i)(?<=(?<![\p{L}\p{N}])" + _any(_BEFORE_NUMBER) + r")\.(?=" + _S + r"*\d)")
-    t = _hold(t, r"(?<=\d)\.(?=" + _S + r"+(?:\d|" + _any(_GERMAN_MONTHS) + r"))")
-    t = _hold(t, r"(?<=(?<![\p{L}\p{N}])[zdusmioavтpa])\.(?=" + _S + r"?[BhaUÄOÖmeкMе]\b\.)")
-    t = _hold(t, r"(?<=(?<![\p{L}\p{N}])z\x{E000}" + _S + r"?B|(?<![\p{L}\p{N}])d\x{E000}" + _S + r"?h|(?<![\p{L}\p{N}])u\x{E000}" + _S + r"?a)\.")
-    t = _hold(t, r"(?<=(?<![\p{L}\p{N}.])\p{Lu})\.(?=" + _S + r"?\p{Lu})")
+    # each pattern begins with the mark, so what stands before is looked at only where a mark stands
+    t = _hold(t, r"[.．](?<=\d[.．])(?=\d)")
+    t = _hold(t, r"[.!?](?<=(?:://|www\.)[^\s<>\"]{0,300})(?=[^\s<>\"'）)\]。、])")
+    t = _hold(t, r"\.(?<=(?<![\p{L}\p{N}])" + _any(_TITLES) + r"\.)")
+    t = _hold(t, r"(?i)\.(?<=(?<![\p{L}\p{N}])" + _any(_INNER) + r"\.)")
+    t = _hold(t, r"(?i)\.(?=" + _S + r"*\d)(?<=(?<![\p{L}\p{N}])" + _any(_BEFORE_NUMBER) + r"\.)")
+    t = _hold(t, r"\.(?<=\d\.)(?=" + _S + r"+(?:\d|" + _any(_GERMAN_MONTHS) + r"))")
+    t = _hold(t, r"\.(?<=(?<![\p{L}\p{N}])[zdusmioavтpa]\.)(?=" + _S + r"?[BhaUÄOÖmeкMе]\b\.)")
+    t = _hold(t, r"\.(?<=(?:(?<![\p{L}\p{N}])z\x{E000}" + _S + r"?B|(?<![\p{L}\p{N}])d\x{E000}" + _S + r"?h|(?<![\p{L}\p{N}])u\x{E000}" + _S + r"?a)\.)")
+    t = _hold(t, r"\.(?<=(?<![\p{L}\p{N}.])\p{Lu}\.)(?=" + _S + r"?\p{Lu})")
     for opening, closing in ("「」", "『』", "（）", "()", "[]", "【】", "《》"):
         o, c = "\\" + opening, "\\" + closing
         t = _hold(t, f"[{_MARKS}](?=[{_MARKS}]*[^{_MARKS}{o}{c}][^{o}{c}]{{0,{NESTED}}}{c})")
@@ -87,13 +88,13 @@ def marked(text: Column) -> Column:
     t = F.regexp_replace(t, r"([。｡][\"'”’」』）】〕》)\]]+)(?![\"'”’」』）】〕》)\]、，,。]|と|って|など|という)", here)
     t = F.regexp_replace(t, r"([！？]+[）】)\]]+)(?![\"'”’」』）】〕》)\]、，,。]|と|って)", here)
     t = F.regexp_replace(t, r"([！？]+[\"'”’」』]+)(?=[\s\p{Z}])", here)
-    t = F.regexp_replace(t, r"(?<=[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}])([!?]+)(?=[\p{L}\p{N}「『（(])", here)
+    t = F.regexp_replace(t, r"(?=[!?])(?<=[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}])([!?]+)(?=[\p{L}\p{N}「『（(])", here)
     # marks of scripts with case need a gap and no small letter after it
     t = F.regexp_replace(t, r"([.!?…．！？]+" + _CLOSING + r"*)(?=" + _S + r"+(?!" + _S + r"|(?:" + "|".join(_QUOTING.split()) + r")\b)(?:[^\p{Ll}]|[a-z]\p{Lu}))", here)
-    t = F.regexp_replace(t, r"(?<=[\x{AC00}-\x{D7A3}])([.!?]+)(?=" + _S + r"+\p{Ll})", here)
-    t = F.regexp_replace(t, r"(?<=\p{Ll}{2}|\d|\.m)([.!?]+)(?=\p{Lu}(?:\p{Ll}| \p{Ll}))", here)
+    t = F.regexp_replace(t, r"(?=[.!?])(?<=[\x{AC00}-\x{D7A3}])([.!?]+)(?=" + _S + r"+\p{Ll})", here)
+    t = F.regexp_replace(t, r"(?=[.!?])(?<=\p{Ll}{2}|\d|\.m)([.!?]+)(?=\p{Lu}(?:\p{Ll}| \p{Ll}))", here)
     # in Thai a space
-    return F.regexp_replace(t, r"(?<=[\x{0E00}-\x{0E7F}])(?= )|(?<=[^ \x{E001}])(?= +[\x{0E00}-\x{0E7F}])", END)
+    return F.regexp_replace(t, r"(?= )(?:(?<=[\x{0E00}-\x{0E7F}])|(?<=[^ \x{E001}])(?= +[\x{0E00}-\x{0E7F}]))", END)
 
 
 def spans(df: DataFrame, keys: list[str], text_column: str) -> DataFrame:
