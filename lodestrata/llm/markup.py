@@ -86,15 +86,16 @@ class Page:
                 continue
             if rows:
                 widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
-                out.append(("\n" if out else "") + "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows))
+                table = "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows)
+                out.append(("\n\n" if out else "") + table)
                 rows, last = [], "row"
             if kind == "end":
                 break
-            gap = "" if not out else "\n" if kind == last == "list" else "\n\n"
+            gap = "" if not out else "\n" if kind == last and kind in ("list", "code") else "\n\n"
             body = "  " * depth + "- " + " ".join(text.split()) if kind == "list" else text.strip("\n") if kind in ("code", "formula") else text.strip()
-            out.append(gap + body if not out or gap else body)
+            out.append(gap + body)
             last = kind
-        return "".join(x if x.startswith("\n") or not i else "\n" + x for i, x in enumerate(out)).strip()
+        return "".join(out).strip()
 
 
 def _inline(text: str, page: Page) -> str:

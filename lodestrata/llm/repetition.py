@@ -33,12 +33,15 @@ def _letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
 
 
-def _units(text: Column) -> Column:
+def _is_unspaced(text: Column) -> Column:
     letters = _letters(text)
-    unspaced = F.length(F.regexp_replace(letters, "[^" + _UNSPACED[1:], ""))
+    return F.length(F.regexp_replace(letters, "[^" + _UNSPACED[1:], "")) * 2 > F.length(letters)
+
+
+def _units(text: Column, unspaced: Column) -> Column:
     cut = F.regexp_replace(F.lower(F.translate(text, _BREAK, " ")), _BREAKS, f" {_BREAK} ")
     single = F.split(F.regexp_replace(cut, r"[^\p{L}\p{M}\x{E000}]+", ""), "")
-    return F.when(unspaced * 2 > F.length(letters), single).otherwise(F.regexp_extract_all(cut, F.lit(_UNITS), F.lit(0)))
+    return F.when(unspaced, single).otherwise(F.regexp_extract_all(cut, F.lit(_UNITS), F.lit(0)))
 
 
 def measured(df: DataFrame, text_column: str) -> DataFrame:
@@ -49,8 +52,9 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
     """
     t, columns = "__plain", df.columns
     df = df.withColumn(t, plain(F.coalesce(F.col(text_column), F.lit(""))))
-    df = df.withColumn("__units", F.filter(_units(F.col(t)), lambda u: u != ""))
-    df = df.withColumn("__run", F.when(F.exists("__units", lambda u: F.length(u) > 1), RUN).otherwise(LETTERS))
+    df = df.withColumn("__unspaced", _is_unspaced(F.col(t)))
+    df = df.withColumn("__units", F.filter(_units(F.col(t), F.col("__unspaced")), lambda u: u != ""))
+    df = df.withColumn("__run", F.when(F.col("__unspaced"), LETTERS).otherwise(RUN))
     # every run of units with its place, in order: all but the first of equal runs stood earlier
     # a run over a break, or of next to no letters, is no phrase and has no hash
     each = lambda n: [f"__units[i + {k - 1}]" for k in range(n)]
