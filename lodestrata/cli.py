@@ -11,6 +11,7 @@ from .codes import LANGUAGES, NODE_KINDS, code
 from .functions.ids import node_id
 from .operators import envelope as V
 from .operators import search as S
+from .operators.commands import Command, freshness
 from .session import local_session
 from .sources import discover, store
 
@@ -52,9 +53,29 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("search")
     s.add_argument("text")
     s.add_argument("--ignore-case", action="store_true")
-    for x in (s,):
+    show = sub.add_parser("show")
+    show.add_argument("node")
+    near = sub.add_parser("neighbors")
+    near.add_argument("node")
+    way = sub.add_parser("path")
+    way.add_argument("source")
+    way.add_argument("target")
+    pack = sub.add_parser("context")
+    pack.add_argument("keywords", nargs="+")
+    ex = sub.add_parser("export")
+    ex.add_argument("--file", required=True)
+    ex.add_argument("--node")
+    fresh = sub.add_parser("freshness")
+    fresh.add_argument("files", nargs="+")
+    fresh.add_argument("--root", required=True)
+    for x in (s, show, near, way, pack):
         x.add_argument("--limit", type=int, default=0)
         x.add_argument("--budget", type=int, default=0)
+    for x, default in ((near, 1), (way, 16), (pack, 1), (ex, 1)):
+        x.add_argument("--depth", type=int, default=default)
+    for x in (near, way):
+        x.add_argument("--edge", default="")
+        x.add_argument("--direction", choices=("in", "out", "both"), default="both")
     sub.add_parser("stats")
     sub.add_parser("verify")
     for x in sub.choices.values():
@@ -66,13 +87,23 @@ def main(argv: list[str] | None = None) -> int:
             print(index(spark, o.path, o.out, o.repo, not o.no_gitignore, o.allow_partial))
             return V.OK
         tables = store.open_artifact(spark, o.out)
-        if o.command == "search":
-            limit = V.bounded(o.limit, V.LIMIT, 1, V.MOST, "limit")
-            h = S.hits(tables["lookup"], o.text, o.ignore_case)
-            rows = [r.asDict() for r in S.ranked(h, tables["nodes"], limit).collect()]
-            total = h.count() if len(rows) == limit else len(rows)
-            print(V.fit("search", store.manifest(o.out)["generation"], {"kind": "search", "text": o.text, "limit": limit}, rows, total=total, budget=o.budget))
-            return V.OK if rows and total == len(rows) else V.PARTIAL if rows else V.NOTHING
+        if o.command in ("search", "show", "neighbors", "path", "context", "export"):
+            c = Command(tables, store.manifest(o.out)["generation"], getattr(o, "limit", 0), getattr(o, "budget", 0))
+            if o.command == "export":
+                return c.export(o.file, o.node, o.depth)
+            code_, text = {
+                "search": lambda: c.search(o.text, o.ignore_case),
+                "show": lambda: c.show(o.node),
+                "neighbors": lambda: c.neighbors(o.node, o.depth, o.direction, o.edge),
+                "path": lambda: c.path(o.source, o.target, o.depth, o.direction, o.edge),
+                "context": lambda: c.context(o.keywords, o.depth),
+            }[o.command]()
+            print(text)
+            return code_
+        if o.command == "freshness":
+            for path, state in freshness(tables["files"], o.root, o.files):
+                print(f"{state} {path}")
+            return V.OK
         if o.command == "stats":
             tables["files"].groupBy("language").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).orderBy(F.desc("files"), "language").show(100)
             return V.OK

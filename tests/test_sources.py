@@ -44,6 +44,18 @@ def test_tree_to_artifact(spark, tmp_path):
     assert all(n == 0 for _, n in store.verify(spark, str(out)).collect())
     nodes = {(r.name, r.kind) for r in store.open_artifact(spark, str(out))["nodes"].collect()}
     assert {("N", 9), ("F", 10), ("Pt", 5), ("TODO", 14), ("A", 5), ("go", 6), ("a.c", 3), ("r", 1)} <= nodes
+    from lodestrata.operators.commands import Command, freshness
+
+    tables = store.open_artifact(spark, str(out))
+    c = Command(tables, first, 10, 4000)
+    assert c.search("Pt")[0] == envelope.OK and c.search("nothing here")[0] == envelope.NOTHING
+    code, said = c.neighbors("a.c", 1, "out")
+    assert code == envelope.OK and {n["name"] for n in json.loads(said)["nodes"]} == {"a.c", "N", "F", "Pt", "TODO"}
+    assert [n["name"] for n in json.loads(c.path("Pt", "go")[1])["nodes"]] == ["Pt", "a.c", "r", "m.py", "go"]
+    assert c.show("Pt")[0] == envelope.OK and c.context(["Pt", "go"])[0] == envelope.OK
+    assert c.export(str(tmp_path / "p.html"), "a.c") == envelope.OK and "</html>" not in (tmp_path / "p.html").read_text()
+    (root / "a.c").write_text("changed")
+    assert freshness(tables["files"], str(root), ["a.c", "lib/m.py", "zz"]) == [("a.c", "changed"), ("lib/m.py", "unchanged"), ("zz", "unknown")]
     (out / "manifest.json").write_text(json.dumps({"formatVersion": 99}))
     with pytest.raises(store.Corrupt):
         store.manifest(str(out))
