@@ -69,8 +69,9 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
     blank = F.regexp_like(F.col("__plain"), F.lit(r"\S"))
     unspaced = F.length(F.regexp_replace("__plain", "[^" + _UNSPACED[1:], ""))
     signs = F.length(F.regexp_replace("__plain", r"[^のをがにはでともたしれ的了是在有和不这那还之就은는이가을를에다로고하지의ทนกงมไใเจึ]+", ""))
-    lines = F.filter(F.split("__plain", r"\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    tokens = F.filter(F.split("__plain", r"[\s\p{Z}]+"), lambda x: F.length(x) > 2)
+    df = df.withColumn("__said", F.filter(F.split("__plain", r"\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))))
+    df = df.withColumn("__tokens", F.filter(F.split("__plain", r"[\s\p{Z}]+"), lambda x: F.length(x) > 2))
+    lines, tokens = F.col("__said"), F.col("__tokens")
     odd = F.filter(tokens, lambda x: F.regexp_like(x, F.lit(r"\p{Ll}[\d;|?!@%^:]+\p{Ll}|^[;|^%@]|[\d^%@;|][^\s\p{L}]*\p{L}.*[\d^%@;|]")))
     row = F.struct(
         share(total(F.filter("__blocks", reads)), n).alias("prose"),

@@ -56,25 +56,28 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
     df = df.withColumn("__units", F.filter(_units(F.col(t), F.col("__unspaced")), lambda u: u != ""))
     df = df.withColumn("__run", F.when(F.col("__unspaced"), LETTERS).otherwise(RUN))
     # every run of units with its place, in order: all but the first of equal runs stood earlier
-    # a run over a break, or of next to no letters, is no phrase and has no hash
-    each = lambda n: [f"__units[i + {k - 1}]" for k in range(n)]
-    run_hash = lambda n: f"IF({' OR '.join(f'{u} = {chr(39)}{_BREAK}{chr(39)}' for u in each(n))} OR length(concat({', '.join(each(n))})) < {2 * RUN}, NULL, xxhash64({', '.join(each(n))}))"
+    df = df.withColumn("__sizes", F.expr("transform(__units, u -> IF(u = '\ue000', 0, length(u)))"))
+    # a unit's hash is null at a break, and so is that of every run over it; a run of next to no letters has none
+    df = df.withColumn("__hashes", F.expr("transform(__units, u -> IF(u = '\ue000', NULL, xxhash64(u)))"))
+    run_hash = lambda n: " ^ ".join(f"shiftleft(__hashes[i + {k - 1}], {3 * k})" for k in range(n))
+    letters_of = " + ".join(f"__sizes[i + {k - 1}]" for k in range(RUN))
     df = df.withColumn(
         "__runs",
         F.expr(
             "CASE WHEN size(__units) >= __run THEN sort_array(transform(sequence(1, size(__units) - __run + 1), "
-            f"i -> named_struct('h', IF(__run = {RUN}, {run_hash(RUN)}, {run_hash(LETTERS)}), 'i', i))) ELSE array() END"
+            f"i -> named_struct('h', IF(__run = {RUN}, IF({letters_of} < {2 * RUN}, NULL, {run_hash(RUN)}), {run_hash(LETTERS)}), 'i', i))) ELSE array() END"
         ),
     )
     df = df.withColumn("__again", F.expr("CASE WHEN size(__runs) > 1 THEN array_sort(filter(transform(sequence(2, size(__runs)), j -> IF(__runs[j - 1].h = __runs[j - 2].h, __runs[j - 1].i, NULL)), x -> x IS NOT NULL)) ELSE array() END"))
-    df = df.withColumn("__sizes", F.expr("transform(__units, u -> IF(u = '\ue000', 0, length(u)))"))
     covered = """aggregate(transform(__again, (p, k) -> aggregate(
         sequence(IF(k = 0, p, greatest(p, __again[k - 1] + __run)), p + __run - 1),
         0L, (a, q) -> a + __sizes[q - 1])), 0L, (a, x) -> a + x)"""
     letters = F.expr("aggregate(__sizes, 0L, (a, x) -> a + x)")
     df = df.withColumn("__letters", letters).withColumn("__repeated", F.expr(covered))
-    lines = F.filter(F.transform(F.split(F.col(t), r"\n"), _letters), lambda x: x != "")
-    sentences = F.filter(F.transform(F.split(F.col(t), r"[.!?…。！？｡؟।።]+|\n\s*\n"), _letters), lambda x: x != "")
+    # as columns of their own, each is cut once and not once for each mention
+    df = df.withColumn("__lines", F.filter(F.transform(F.split(F.col(t), "\n"), _letters), lambda x: x != ""))
+    df = df.withColumn("__said", F.filter(F.transform(F.split(F.col(t), r"[.!?…。！？｡؟।።]+|\n\s*\n"), _letters), lambda x: x != ""))
+    lines, sentences = F.col("__lines"), F.col("__said")
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
     chars = F.length(F.regexp_replace(F.col(t), r"\s+", ""))
     common = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
