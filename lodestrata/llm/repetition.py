@@ -3,7 +3,8 @@
 The measures are expressions over arrays of the document's own units, so a document is measured where it lies
 and nothing is shuffled.  A unit is a word, or a single letter in documents written mostly in a script without
 spaces; letter case, punctuation, numbers and markup are left aside.  A unit is repeated if a run of ``RUN`` units
-(``LETTERS`` letters) around it, within a sentence or list item, already stood earlier.
+(``LETTERS`` letters) around it, within a sentence or list item, already stood earlier, or if its whole sentence,
+list item or paragraph did, however short it is.
 
 Defined cases: null, blank and letterless texts measure 0 and are never found; repeated rows count once; a finding
 whose document, line or related lines are missing is no case.
@@ -16,17 +17,30 @@ from pyspark.sql import functions as F
 
 from .lexicon import COMMON_WORDS
 from .plain import plain
+from .sentences import _BEFORE_NUMBER, _INNER, _TITLES, _any
 
 RUN, LETTERS = 5, 12
 #: Scripts without spaces between words: kana, Han, Thai, Lao, Khmer, Myanmar.
 _UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-#: Units, and the sign for a place that no phrase crosses: sentence ends, blank lines, list items and cells.
-_UNITS = r"[\p{L}\p{M}]+|\x{E000}"
-_BREAKS = r"[.!?…。！？｡؟।።;；|•·›→]+(?=[\s\p{Z}]|\z|[^\p{L}\p{N}])|[。！？｡]|\n(?=\s*(?:\n|[-*•–—→>]|\(?\w{1,3}[.)]\s|#))"
-_BREAK = "\ue000"
+#: Signs for places that no phrase crosses: inside a sentence (cells, semicolons), at its end or before a list item,
+#: and between paragraphs.
+_CUT, _STOP, _GAP = _BREAK = "\ue000\ue001\ue002"
+_UNITS = r"[\p{L}\p{M}]+|[\x{E000}-\x{E002}]"
+_AFTER = r"+(?=[\s\p{Z}]|\z|[^\p{L}\p{N}])"
+#: Dots of abbreviations, which cut nothing.
+_ABBREVIATED = (
+    r"\.(?<=(?<![\p{L}\p{N}])" + _any(_TITLES) + r"\.)"
+    r"|(?i:\.(?<=(?<![\p{L}\p{N}])" + _any(_INNER) + r"\.))"
+    r"|(?i:\.(?=[\s\p{Z}]*\d)(?<=(?<![\p{L}\p{N}])" + _any(_BEFORE_NUMBER) + r"\.))"
+)
+_BREAKS = (
+    (r"\n(?=\s*\n)", _GAP),
+    (r"[.!?…。！？｡؟।።]" + _AFTER + r"|[。！？｡]|\n(?=\s*(?:[-*•–—→>]|\(?\w{1,3}[.)]\s|#))", _STOP),
+    (r"[;；|•·›→]" + _AFTER, _CUT),
+)
 
 #: The threshold table: measure, comparison, bound.  A document is repetitive if any row holds.
-THRESHOLDS = (("repeated_share", ">=", 0.25),)
+THRESHOLDS = (("again_share", ">=", 0.25),)
 
 
 def _letters(text: Column) -> Column:
@@ -39,8 +53,10 @@ def _is_unspaced(text: Column) -> Column:
 
 
 def _units(text: Column, unspaced: Column) -> Column:
-    cut = F.regexp_replace(F.lower(F.translate(text, _BREAK, " ")), _BREAKS, f" {_BREAK} ")
-    single = F.split(F.regexp_replace(cut, r"[^\p{L}\p{M}\x{E000}]+", ""), "")
+    cut = F.lower(F.regexp_replace(F.translate(text, _BREAK, "   "), _ABBREVIATED, " "))
+    for pattern, sign in _BREAKS:
+        cut = F.regexp_replace(cut, pattern, f" {sign} ")
+    single = F.split(F.regexp_replace(cut, r"[^\p{L}\p{M}\x{E000}-\x{E002}]+", ""), "")
     return F.when(unspaced, single).otherwise(F.regexp_extract_all(cut, F.lit(_UNITS), F.lit(0)))
 
 
@@ -51,14 +67,15 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
     hold the whole chain of expressions once for each mention.
     """
     t, columns = "__plain", df.columns
+    signs = str(tuple(_BREAK))
     df = df.withColumn(t, plain(F.coalesce(F.col(text_column), F.lit(""))))
     df = df.withColumn("__unspaced", _is_unspaced(F.col(t)))
     df = df.withColumn("__units", F.filter(_units(F.col(t), F.col("__unspaced")), lambda u: u != ""))
     df = df.withColumn("__run", F.when(F.col("__unspaced"), LETTERS).otherwise(RUN))
     # every run of units with its place, in order: all but the first of equal runs stood earlier
-    df = df.withColumn("__sizes", F.expr("transform(__units, u -> IF(u = '\ue000', 0, length(u)))"))
+    df = df.withColumn("__sizes", F.expr(f"transform(__units, u -> IF(u IN {signs}, 0, length(u)))"))
     # a unit's hash is null at a break, and so is that of every run over it; a run of next to no letters has none
-    df = df.withColumn("__hashes", F.expr("transform(__units, u -> IF(u = '\ue000', NULL, xxhash64(u)))"))
+    df = df.withColumn("__hashes", F.expr(f"transform(__units, u -> IF(u IN {signs}, NULL, xxhash64(u)))"))
     run_hash = lambda n: " ^ ".join(f"shiftleft(__hashes[i + {k - 1}], {3 * k})" for k in range(n))
     letters_of = " + ".join(f"__sizes[i + {k - 1}]" for k in range(RUN))
     df = df.withColumn(
@@ -74,6 +91,22 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
         0L, (a, q) -> a + __sizes[q - 1])), 0L, (a, x) -> a + x)"""
     letters = F.expr("aggregate(__sizes, 0L, (a, x) -> a + x)")
     df = df.withColumn("__letters", letters).withColumn("__repeated", F.expr(covered))
+    # sentences and paragraphs with their places; one is said again if its letters stood whole before it began
+    for name, ends in (("__sentences", (_STOP, _GAP)), ("__paragraphs", (_GAP,))):
+        at = f"filter(sequence(0, size(__units) + 1), i -> i = 0 OR i > size(__units) OR __units[i - 1] IN ({', '.join(map(repr, ends))}))"
+        df = df.withColumn(f"{name}_at", F.expr(at))
+        said = f"translate(array_join(slice(__units, {name}_at[k - 1] + 1, {name}_at[k] - {name}_at[k - 1] - 1), ''), '{_BREAK}', '')"
+        parts = f"filter(transform(sequence(1, size({name}_at) - 1), k -> named_struct('said', {said}, 'i', {name}_at[k - 1] + 1, 'e', {name}_at[k] - 1)), x -> x.said <> '')"
+        df = df.withColumn(name, F.expr(f"transform({parts}, x -> named_struct('h', xxhash64(x.said), 'i', x.i, 'e', x.e))"))
+    df = df.withColumn("__parts", F.expr("sort_array(concat(__sentences, __paragraphs))"))
+    df = df.withColumn("__parts_again", F.expr("CASE WHEN size(__parts) > 1 THEN filter(transform(sequence(2, size(__parts)), j -> IF(__parts[j - 1].h = __parts[j - 2].h AND __parts[j - 2].e < __parts[j - 1].i, named_struct('i', __parts[j - 1].i, 'e', __parts[j - 1].e), NULL)), x -> x IS NOT NULL) ELSE array() END"))
+    # the union of phrases, sentences and paragraphs, from left to right
+    union = """aggregate(array_sort(concat(transform(__again, p -> named_struct('i', p, 'e', p + __run - 1)), __parts_again)),
+        named_struct('to', 0, 'n', 0L),
+        (a, x) -> named_struct('to', greatest(a.to, x.e), 'n', a.n + IF(x.e <= a.to, 0L,
+            aggregate(slice(__sizes, greatest(a.to + 1, x.i), x.e - greatest(a.to + 1, x.i) + 1), 0L, (s, v) -> s + v))),
+        a -> a.n)"""
+    df = df.withColumn("__said_again", F.expr(f"IF(size(__parts_again) = 0, __repeated, {union})"))
     # as columns of their own, each is cut once and not once for each mention
     df = df.withColumn("__lines", F.filter(F.transform(F.split(F.col(t), "\n"), _letters), lambda x: x != ""))
     df = df.withColumn("__said", F.filter(F.transform(F.split(F.col(t), r"[.!?…。！？｡؟।።]+|\n\s*\n"), _letters), lambda x: x != ""))
@@ -83,10 +116,11 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
     common = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     measures = {
         "repeated_share": share(F.col("__repeated"), F.col("__letters")),
+        "again_share": share(F.col("__said_again"), F.col("__letters")),
         "repeated_line_share": share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
         "repeated_sentence_share": share(F.size(sentences) - F.size(F.array_distinct(sentences)), F.size(sentences)),
         "symbol_share": share(chars - F.col("__letters"), chars),
-        "common_share": share(F.size(F.filter("__units", lambda u: u.isin(common))), F.size(F.filter("__units", lambda u: u != _BREAK))),
+        "common_share": share(F.size(F.filter("__units", lambda u: u.isin(common))), F.size(F.filter("__units", lambda u: ~u.isin(*_BREAK)))),
         "mean_line": share(F.length(t), F.size(F.split(F.col(t), r"\n"))),
     }
     row = F.struct(F.col("__letters").alias("letters"), *(m.alias(name) for name, m in measures.items()))

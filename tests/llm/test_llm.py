@@ -147,6 +147,26 @@ def test_repeated_share_against_brute_force(spark):
     assert {r.row_id for r in repetition.repetitive(frame(spark, loops), "id", "text").collect()} == {0, 1}
 
 
+def test_repeated_short_sentences_and_paragraphs(spark):
+    other = "Nobody in the quiet house had read the long letter about copper and rain."
+    texts = [
+        "Wait here. " * 5 + "Come in.",
+        f"{other}\n\n- Copy it\n- copy it!\n- 3 copy, it\n- Copy it.\n- Copy it.\n- Copy it.\n- copy it",
+        "他走了。雨停了。门开着。\n\n" * 3 + "最后一行说的是别的事情。",
+        "Old queue, new disk.\n\nOld. Queue. New. Disk.",
+        f"{other} Wait here.",
+        "The tool (cf. Fig. 3) copied one file. It (cf. Fig. 4) copied one line.",
+        None,
+        "... 1. 2.\n\n3.",
+        "A tool (cf. Fig. 3) copied one file. A tool (cf. Fig. 4) copied one line.",
+    ]
+    rows = {r.id: r for r in repetition.measured(frame(spark, texts, False), "text").collect()}
+    size = sum(map(str.isalpha, other))
+    want = [32 / 46, 36 / (42 + size), 18 / 38, 0.5, 0, 0, 0, 0, 19 / 46]
+    assert all(abs(rows[i].again_share - w) < 1e-9 for i, w in enumerate(want))
+    assert {r.row_id for r in repetition.repetitive(frame(spark, texts), "id", "text").collect()} == {0, 1, 2, 3, 8}
+
+
 def test_related_lines(spark):
     docs = spark.createDataFrame([(1, "Abc 1\nx\nabc, 1!\n--\nABC1"), (2, None)], "corpus_id bigint, text string")
     rows = [(1, 1, 1, [3, 5, 3]), (2, 1, 1, [2, 3]), (3, 1, 1, [1]), (4, 1, 4, [3]), (5, 1, 1, [99, -1, 0]), (6, 2, 1, [1, 2]), (7, 1, 1, None), (8, 9, 1, [2]), (9, 1, 1, [2, 3, 99])]
