@@ -1,9 +1,10 @@
 """Markup residue in text: layout-aware rendering with the structure that was marked up.
 
-A tree builder reads HTML tags, Markdown, wiki and LaTeX constructs into blocks.  Tags that HTML leaves out are
-implied (a list item ends where the next begins, cells and rows likewise), and visibility rules leave out
-comments, scripts and heads.  The renderer emits all visible text, one block after another, with lists indented,
-table cells aligned and code and formulas kept as they stand; each kind of structure it met is reported.
+A tree builder reads HTML tags, and Markdown, wiki and LaTeX constructs become blocks.  Tags that HTML leaves out
+are implied (a list item ends where the next begins, cells and rows likewise), and visibility rules leave out
+comments, scripts, heads and elements hidden by attribute or style.  The renderer emits all visible text, one block
+after another, with lists indented by depth and numbered as they were, table cells aligned and code and formulas
+kept as they stand; each kind of structure it met is reported.
 
 Defined cases: null and blank text give an empty rendering and no markup; damaged or unclosed markup is read as
 far as it goes and never raises; repeated rows give equal rows.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,7 +35,8 @@ _ORDERED = re.compile(r"([ \t]*)(\d{1,4})\.[ \t]+(\S.*)\Z")
 _WIKI_ITEM = re.compile(r"([#*]+|[:;]+)[ \t]*(\S.*)\Z")
 _WIKI = re.compile(r"\[\[|\{\{\w+\||''|\[https?://\S+ [^\]]*\]|^==[^=].*==\s*\Z")
 _TABLE_RULE = re.compile(r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\Z")
-_LATEX_BLOCK = re.compile(r"\\begin\{(\w+\*?)\}(.*?)(?:\\end\{\1\}|\Z)", re.S)
+_LATEX_BLOCK = re.compile(r"\\begin\{(?!(?:itemize|enumerate|description)\*?\})(\w+\*?)\}(.*?)(?:\\end\{\1\}|\Z)", re.S)
+_LATEX_LIST = re.compile(r"\\begin\{(itemize|enumerate|description)\*?\}(?:\[[^\]]*\])?|\\end\{(itemize|enumerate|description)\*?\}|\\item(?![a-zA-Z])(?:\[([^\]]*)\])?[ \t]*\n?[ \t]*")
 _LATEX_HEADING = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{([^{}]*)\}")
 _LATEX_INLINE = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|text|footnote|textsc|href|url)\*?\{|~?\\(?:cite|label|ref|eqref|pageref)\{[^{}]*\}|\{\\(?:it|bf|em|tt|sc)\b|\\(?:documentclass|usepackage)(?:\[[^\]]*\])?\{[^{}]*\}")
 _FORMULAS = (
@@ -44,7 +47,33 @@ _FORMULAS = (
 )
 _CODE_ENVS = ("verbatim", "lstlisting", "minted", "Verbatim")
 _MATH_ENVS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math")
-_LIST_ENVS = ("itemize", "enumerate", "description")
+
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_LISTS, _ITEMS = ("ul", "ol", "dl"), ("li", "dt", "dd")
+_TABLE = ("table", "thead", "tbody", "tfoot", "tr", "td", "th")
+_ROWS = _TABLE[:-2]
+_BLOCKS = {*_HEADINGS, *_LISTS, *_ITEMS, *_TABLE, *"p div blockquote section article body html center header footer pre syntaxhighlight".split()}
+#: Elements that don't show, that have no end tag, and that make a table's cell a part of the page's layout.
+_HIDDEN = ("script", "style", "head", "template")
+_VOID = ("br", "hr", "img", "input", "link", "meta", "col")
+_LAYOUT = {*_HEADINGS, *_LISTS, "table", "pre", "syntaxhighlight"}
+#: Implied ends: a tag ends the open elements named, as far as the nearest one of the second names.
+_SCOPE = ("td", "th", "li", "dd", "div", "blockquote", "section", "article", "table")
+_ENDS = {
+    "li": (("li",), _LISTS),
+    "dt": (("dt", "dd"), _LISTS),
+    "dd": (("dt", "dd"), _LISTS),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr", "td", "th"), ("table",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("tr", "td", "th", "thead", "tbody", "tfoot"), ("table",))),
+    "body": (("head",), ()),
+}
+#: What an end tag doesn't reach over.
+_CLOSES = {**dict.fromkeys(_ITEMS, (*_LISTS, "td", "th")), **dict.fromkeys(_TABLE[1:], ("table",))}
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?")
+#: Signs at the head of a line: heading, item (with depth and label up to the second sign), code, row; and between cells.
+_SIGNS = dict.fromkeys((2, 3, 4, 5, 6, 7, 0x1F))
 
 _INLINE = (
     ("link", re.compile(r"!?\[([^\[\]\n]*)\]\((?:https?://|mailto:|[./#]|\w+/|\w+\.\w)[^()\s]*(?:\s\"[^\"]*\")?\)"), r"\1"),
@@ -65,24 +94,24 @@ class Page:
     """Blocks in the order of the text, and what was marked up."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, str]] = []
+        self.blocks: list[tuple[str, int, str, str]] = []
         self.pieces: set[str] = set()
         self.marked = False
 
-    def put(self, kind: str, text: str, depth: int = 0) -> None:
+    def put(self, kind: str, text: str, depth: int = 0, label: str = "-") -> None:
         if kind in PIECES:
             self.pieces.add(kind)
             self.marked = True
         if text.strip() or kind in ("code", "formula"):
-            self.blocks.append((kind, depth, text))
+            self.blocks.append((kind, depth, text, label))
 
     def render(self) -> str:
         out: list[str] = []
         rows: list[list[str]] = []
         last = ""
-        for kind, depth, text in [*self.blocks, ("end", 0, "")]:
+        for kind, depth, text, label in [*self.blocks, ("end", 0, "", "")]:
             if kind == "row":
-                rows.append([c.strip() for c in text.split("\x1f")])
+                rows.append([" ".join(c.split()) for c in text.split("\x1f")])
                 continue
             if rows:
                 widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
@@ -92,7 +121,7 @@ class Page:
             if kind == "end":
                 break
             gap = "" if not out else "\n" if kind == last and kind in ("list", "code") else "\n\n"
-            body = "  " * depth + "- " + " ".join(text.split()) if kind == "list" else text.strip("\n") if kind in ("code", "formula") else text.strip()
+            body = "  " * depth + f"{label} " + " ".join(text.split()) if kind == "list" else text.strip("\n") if kind in ("code", "formula") else text.strip()
             out.append(gap + body)
             last = kind
         return "".join(out).strip()
@@ -120,58 +149,162 @@ def _formula(text: str, page: Page) -> str:
     return text
 
 
-def _tags(text: str, page: Page) -> str:
-    """HTML to lines: the tree of open elements decides what is visible and where blocks begin."""
-    if "<" not in text:
-        return text
-    out: list[str] = []
-    open_: list[str] = []
-    hidden, at, items = 0, 0, 0
+class _Element:
+    """An open element of the tree: where it stands, whether it shows, and how deep in lists it is."""
+
+    __slots__ = ("cell", "closed", "hidden", "layout", "lists", "name", "number", "up")
+
+    def __init__(self, name: str, up: _Element | None, attributes: dict[str, str]):
+        self.name, self.up, self.closed, self.layout = name, up, False, False
+        style = attributes.get("style", "").lower().replace(" ", "")
+        own = name in _HIDDEN or "hidden" in attributes or "display:none" in style or "visibility:hidden" in style
+        self.hidden = own or (up is not None and up.hidden)
+        self.lists = (up.lists if up is not None else 0) + (name in _LISTS)
+        self.cell = self if name in ("td", "th") else up.cell if up is not None else None
+        start = attributes.get("start", "")
+        self.number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+
+
+def _implied(name: str, top: _Element, count: Counter) -> _Element | None:
+    """The open element that a tag of this name ends, if any."""
+    ends, scope = _ENDS.get(name, ((), ()))
+    if name in _BLOCKS and name not in ("tr", "td", "th", "thead", "tbody", "tfoot"):
+        ends, scope = (*ends, "p"), scope or _SCOPE
+    found = None
+    if any(count[e] for e in ends):
+        while top.up is not None and top.name not in scope:
+            found = top if top.name in ends else found
+            top = top.up
+    return found
+
+
+def _tree(text: str, page: Page) -> list[tuple[str, _Element, str]]:
+    """The tree of open elements in the order of the text: (open, text or close; the element; the text)."""
+    root = _Element("", None, {})
+    here, at, count = root, 0, Counter()
+    events: list[tuple[str, _Element, str]] = []
+
+    def close(last: _Element, closed: bool = True) -> _Element:
+        e = here
+        while True:
+            e.closed = closed
+            count[e.name] -= 1
+            events.append(("close", e, ""))
+            if e is last:
+                return e.up
+            e = e.up
+
     for m in _TAG.finditer(text):
-        if not hidden:
-            out.append(text[at : m.start()])
+        if m.start() > at:
+            events.append(("text", here, text[at : m.start()]))
         at = m.end()
         page.marked = True
         name = (m.group(2) or "").lower()
         if not name:
             continue
-        closing = m.group(1) == "/"
-        if name in ("script", "style", "head"):
-            hidden = max(0, hidden + (-1 if closing else 1))
+        if m.group(1) == "/":
+            e = here
+            if count[name]:
+                limit = _CLOSES.get(name, ("td", "th") if name not in _TABLE else ())
+                while e.name != name and e.up is not None and e.name not in limit and (name in _BLOCKS or e.name not in _BLOCKS):
+                    e = e.up
+            if e.name == name:
+                here = close(e)
+            elif name in _BLOCKS:
+                events.append(("text", here, "\n\n" if name == "p" else "\n"))
             continue
-        if hidden and name == "title":
-            continue
-        if hidden:
-            hidden = 0 if name == "body" else hidden
+        attributes = {}
+        raw = m.group(3) or ""
+        if raw and ("hidden" in raw.lower() or "display" in raw.lower() or name in ("ol", "li")):
+            attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}
+        last = _implied(name, here, count)
+        if last is not None:
+            here = close(last)
+        e = _Element(name, here, attributes)
+        if name == "li" and re.fullmatch(r"-?\d{1,9}", attributes.get("value", "")) and here.name == "ol":
+            here.number = int(attributes["value"])
+        if name in _VOID or (raw.endswith("/") and name not in _BLOCKS):
+            events += [("open", e, ""), ("close", e, "")]
+        elif name in _BLOCKS or name == "math" or e.hidden:
+            here = e
+            count[name] += 1
+            events.append(("open", e, ""))
+            if name in _LAYOUT and e.up.cell is not None:
+                cell = e.up.cell
+                while cell is not None and not cell.layout:
+                    cell.layout = True
+                    cell = cell.up.cell
+    if at < len(text):
+        events.append(("text", here, text[at:]))
+    if here is not root:
+        close_to = here
+        while close_to.up is not root:
+            close_to = close_to.up
+        close(close_to, closed=False)
+    return events
+
+
+def _tags(text: str, page: Page) -> str:
+    """HTML to lines: the tree of open elements decides what is visible, where blocks begin and how deep lists are."""
+    if "<" not in text:
+        return text
+    out: list[str] = []
+    code: list[str] = []
+    pre: _Element | None = None
+    for what, e, said in _tree(text, page):
+        if e.hidden:
             continue
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            out.append("\n\n" if closing else "\n\n\x02")
+        name = e.name
+        flat = e.cell is not None and not e.cell.layout
+        if what == "text":
+            if pre is not None:
+                code.append(said)
+            elif re.search("[\x02-\x06]", said):
+                out.append(said)
+            elif flat or (name in _HEADINGS and e.closed):
+                out.append(re.sub(r"\s+", " ", said))
+            elif name in _ROWS:
+                out.append(said if said.strip() else "")
+            elif name in _ITEMS and e.closed:
+                begun = out and out[-1].endswith("\x06")
+                said = re.sub(r"[ \t]*\n(?!\n)[ \t]*", " ", re.sub(r"\n\s*\n", "\x07\x07", said)).replace("\x07", "\n")
+                out.append(said.lstrip() if begun else said)
+            else:
+                out.append(said)
+        elif pre is not None:
+            if e is pre:
+                lines = html.unescape("".join(code)).translate(_SIGNS).strip("\n").split("\n")
+                out.append("\n\n" + "".join(f"\x04{line}\n" for line in lines) + "\n")
+                pre = None
+            elif name == "br" and what == "open":
+                code.append("\n")
+        elif name in _HEADINGS:
+            out.append(" " if flat else "\n\n" if what == "close" else "\n\n\x02")
             page.put("heading", "")
-        elif name in ("ul", "ol", "dl"):
-            items += -1 if closing else 1
-            open_ = open_[:-1] if closing and open_ else [*open_, name]
-            out.append("\n")
+        elif name in _LISTS:
+            out.append("\n" if e.lists > 1 else "\n\n")
             page.put("list", "")
-        elif name in ("li", "dt", "dd"):
-            # a new item ends the one before
-            out.append("\n" if closing else "\n\x03")
+        elif name in _ITEMS:
             page.put("list", "")
+            label = "-"
+            if what == "open" and e.up.name == "ol":
+                label, e.up.number = f"{e.up.number}.", e.up.number + 1
+            out.append("\n" if what == "close" else f"\n\x03{max(e.lists - 1, 0)},{label}\x06")
         elif name in ("pre", "syntaxhighlight"):
-            out.append("\n\n" if closing else "\n\n\x04")
+            pre, code = e, []
             page.put("code", "")
         elif name == "math":
             out.append(" ")
             page.put("formula", "")
         elif name == "tr":
-            out.append("\n" if closing else "\n\x05")
+            out.append("\n" if what == "close" else "\n\x05")
         elif name in ("td", "th"):
-            out.append("" if closing else "\x1f")
-        elif name in ("p", "div", "table", "blockquote", "section", "article", "body", "html", "center", "header", "footer", "hr"):
-            out.append("\n\n")
+            out.append("\n\n" if e.layout else "\x1f" if what == "open" else "")
         elif name == "br":
-            out.append("\n")
-    if not hidden:
-        out.append(text[at:])
+            out.append("" if what == "close" else " " if flat or name in _HEADINGS else "\n")
+        elif name in _BLOCKS or name == "hr":
+            begun = what == "open" and out and out[-1].endswith("\x06")
+            out.append(" " if flat else "" if begun else "\n\n")
     return "".join(out)
 
 
@@ -180,7 +313,7 @@ def read(text: str | None) -> Page:
     page = Page()
     if not text or not text.strip():
         return page
-    text = text.translate({2: None, 3: None, 4: None, 5: None, 0x1F: None})
+    text = text.translate(_SIGNS)
 
     def environment(m: re.Match) -> str:
         name, body = m.group(1), m.group(2)
@@ -192,13 +325,10 @@ def read(text: str | None) -> Page:
         if base in _MATH_ENVS:
             page.put("formula", "")
             return "\n\n" + body.strip() + "\n\n"
-        if base in _LIST_ENVS:
-            page.put("list", "")
-            return "\n\n" + re.sub(r"\\item(?:\[[^\]]*\])?[ \t]*", "\n\x03", body) + "\n\n"
         return _LATEX_BLOCK.sub(environment, body)
 
     if "\\" in text:
-        text = _LATEX_BLOCK.sub(environment, text)
+        text = _latex_lists(_LATEX_BLOCK.sub(environment, text), page)
         if _LATEX_HEADING.search(text):
             page.put("heading", "")
             text = _LATEX_HEADING.sub(lambda m: f"\n\n\x02{m.group(1)}\n\n", text)
@@ -220,6 +350,29 @@ def read(text: str | None) -> Page:
     return page
 
 
+def _latex_lists(text: str, page: Page) -> str:
+    """Lists of LaTeX at any depth to lines of items."""
+    open_: list[list] = []
+
+    def token(m: re.Match) -> str:
+        if m.group(1):
+            page.put("list", "")
+            open_.append([m.group(1), 0])
+            return "\n\n" if len(open_) == 1 else "\n"
+        if m.group(2):
+            if open_:
+                open_.pop()
+            return "\n" if open_ else "\n\n"
+        if not open_:
+            return m.group(0)
+        open_[-1][1] += 1
+        label = f"{open_[-1][1]}." if open_[-1][0] == "enumerate" else "-"
+        term = (m.group(3) or "").strip()
+        return f"\n\x03{len(open_) - 1},{label}\x06" + (term + " " if term else "")
+
+    return _LATEX_LIST.sub(token, text)
+
+
 def _code_blocks(text: str, page: Page) -> list[str]:
     """Lines, those of fenced blocks marked as code and their fences gone."""
     out: list[str] = []
@@ -268,7 +421,9 @@ def _blocks(lines: list[str], page: Page) -> None:
             page.put("heading", _inline(rest.strip(), page))
         elif sign == "\x03":
             flush()
-            page.put("list", _inline(rest.strip(), page))
+            place, _, rest = rest.partition("\x06")
+            depth, _, label = place.partition(",")
+            page.put("list", _inline(rest.strip(), page), int(depth), label)
         elif sign == "\x05":
             flush()
             page.put("row", _inline(rest.lstrip("\x1f"), page))
@@ -280,7 +435,8 @@ def _blocks(lines: list[str], page: Page) -> None:
             page.put("heading", _inline(m.group(2), page))
         elif k in items:
             flush()
-            page.put("list", _inline(items[k], page))
+            depth, label, rest = items[k]
+            page.put("list", _inline(rest, page), depth, label)
         elif (m := _ATX.match(line)):
             flush()
             page.put("heading", _inline(m.group(2), page))
@@ -303,30 +459,60 @@ def _blocks(lines: list[str], page: Page) -> None:
     flush()
 
 
-def _marked_items(lines: list[str]) -> dict[int, str]:
-    """Lines that are list items of Markdown or wiki text, and what they say.
+def _marked_items(lines: list[str]) -> dict[int, tuple[int, str, str]]:
+    """Lines that are list items of Markdown or wiki text: their depth, their label and what they say.
 
     One line with a star, dash or number is an item.  A line with ``#`` is a Markdown heading, but an item if
-    several stand together or the rest is written in wiki markup.
+    several stand together or the rest is written in wiki markup.  Markdown's depth is the number of open items
+    that stand further left, wiki text's the number of signs.
     """
-    found: dict[int, str] = {}
+    found: dict[int, tuple[int, str, str]] = {}
     wiki = any(_WIKI.search(line) for line in lines)
     runs: list[int] = []
+    left: list[int] = []
+    numbers: list[int] = []
+
+    def numbered(depth: int, ordered: bool) -> str:
+        """The label of a wiki item, numbers counted at each depth."""
+        del numbers[depth + 1 :]
+        numbers.extend([0] * (depth + 1 - len(numbers)))
+        numbers[depth] = numbers[depth] + 1 if ordered else 0
+        return f"{numbers[depth]}." if ordered else "-"
+
+    last = -1
     for k, line in enumerate([*lines, ""]):
         hashes = bool(re.match(r"#+[ \t]+\S", line))
         if hashes:
             runs.append(k)
+            left = []
             continue
         if len(runs) > 1 or (runs and wiki):
-            found |= {j: lines[j].lstrip("# \t") for j in runs}
+            for j in runs:
+                if j != last + 1:
+                    numbers.clear()
+                depth = len(lines[j]) - len(lines[j].lstrip("#")) - 1
+                found[j], last = (depth, numbered(depth, True), lines[j].lstrip("# \t")), j
         runs = []
-        if m := _BULLET.match(line):
-            found[k] = m.group(4)
-        elif m := _ORDERED.match(line):
-            found[k] = m.group(3)
-        elif m := re.match(r"(?:\*\*+|\*#|#\*|[:;](?=[ \t]))[ \t]*(\S.*)\Z", line):
+        bullet, ordered = _BULLET.match(line), _ORDERED.match(line)
+        if m := bullet or ordered:
+            indent = len(m.group(1).expandtabs(4))
+            while left and left[-1] >= indent:
+                left.pop()
+            found[k] = (len(left), "-" if bullet else f"{m.group(2)}.", m.group(4) if bullet else m.group(3))
+            left.append(indent)
+            if not (bullet and bullet.group(2) == "*" and not indent):
+                continue
+            numbered(0, False)
+            last = k
+        elif m := re.match(r"(\*\*+|\*#|#\*|[:;](?=[ \t]))[ \t]*(\S.*)\Z", line):
             if not line.rstrip().endswith("**"):
-                found[k] = m.group(1)
+                if k != last + 1:
+                    numbers.clear()
+                depth = len(m.group(1)) - 1
+                found[k], last = (depth, numbered(depth, m.group(1)[-1] == "#"), m.group(2)), k
+                left = []
+        elif line.strip() and not line[:1].isspace():
+            left = []
     return found
 
 

@@ -204,6 +204,19 @@ def test_rendering(spark):
     assert {(r.id, r.piece) for r in got} == {(0, "heading"), (0, "list"), (3, "none")}
 
 
+def test_nested_lists_and_visibility():
+    html_ = "<p hidden>no</p><ol start=3><li>a<ul>\n<li>\n b\n c<li>d</ul><li>e</ol><div style='display: none'>no<div>no</div></div><p title='hidden'>f</p>"
+    assert markup.read(html_).render() == "3. a\n  - b c\n  - d\n4. e\n\nf"
+    assert markup.read("- a\n  - b\n    1. c\n    2. d\n- e\n\n7. f").render() == "- a\n  - b\n    1. c\n    2. d\n- e\n7. f"
+    latex = "\\begin{enumerate}\n\\item a\n\\begin{itemize}\n\\item b\n\\end{itemize}\n\\item c\n\\end{enumerate}\nd"
+    assert markup.read(latex).render() == "1. a\n  - b\n2. c\n\nd"
+    assert markup.read(latex.replace("enumerate", "itemize")).render() == "- a\n  - b\n- c\n\nd"
+    assert markup.read("* a\n** b\n*# c\n*# d\n* e").render() == "- a\n  - b\n  1. c\n  2. d\n- e"
+    assert markup.read("<table><tr><td>a\n<p>b<td><i>c</b><tr><td>dd</table>e").render() == "a b  c\ndd\n\ne"
+    assert markup.read("<pre>a\n\n&lt;b&gt;</pre>c").render() == "a\n\n<b>\n\nc"
+    assert markup.read("<b>" * 20000 + "<div><li>" * 20000 + "x").render().endswith("x")
+
+
 # quality
 
 
