@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 PIECES = ("heading", "list", "code", "formula")
 
 _TAGS = "a abbr article aside b big blockquote body br center cite code col dd del div dl dt em fig figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i img input ins kbd label li link main mark math meta mi mn mo mrow msqrt msub msup nav nowiki ol option p pre q ref s samp script section select small source span strike strong style sub sup syntaxhighlight table tbody td template tfoot th thead title tr tt u ul var video"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(" + "|".join(sorted(_TAGS.split(), key=len, reverse=True)) + r")(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<!doctype[^>]*>", re.I | re.S)
+_TAG = re.compile(r"<!--|<(/?)(" + "|".join(sorted(_TAGS.split(), key=len, reverse=True)) + r")(?=[\s/>])((?:[^<>\"'\x04]|\"[^\"\x04]*\"|'[^'\x04]*')*)>|<!doctype[^>]*>", re.I | re.S)
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,10}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})\s*([\w+-]*)\s*\Z")
+_CODE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\S\n]*[\w+-]*[^\S\n]*$|\\begin\{((?:verbatim|lstlisting|minted|Verbatim)\*?)\}", re.M)
 _ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*\Z")
 _SETEXT = re.compile(r" {0,3}(=+|-{3,})[ \t]*\Z")
 _WIKI_HEADING = re.compile(r"(={2,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*\Z")
@@ -45,7 +45,6 @@ _FORMULAS = (
     re.compile(r"\\\((.+?)\\\)", re.S),
     re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?(?:[\\^_{}=]|\b[a-zA-Z]\b)[^$\n]*?)(?<=[^\s$])\$(?![\w$])"),
 )
-_CODE_ENVS = ("verbatim", "lstlisting", "minted", "Verbatim")
 _MATH_ENVS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math")
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -55,8 +54,11 @@ _ROWS = _TABLE[:-2]
 _BLOCKS = {*_HEADINGS, *_LISTS, *_ITEMS, *_TABLE, *"p div blockquote section article body html center header footer pre syntaxhighlight".split()}
 #: Elements that don't show, that have no end tag, and that make a table's cell a part of the page's layout.
 _HIDDEN = ("script", "style", "head", "template")
+_RAW = ("script", "style", "syntaxhighlight")
 _VOID = ("br", "hr", "img", "input", "link", "meta", "col")
 _LAYOUT = {*_HEADINGS, *_LISTS, "table", "pre", "syntaxhighlight"}
+_NEXT_BLOCK = re.compile(r"\n[ \t]*(?=\n|\x04)|\x04|<(?=/?(?:body|h[1-6]|p|div|ul|ol|dl|li|table|pre|blockquote|section|article)[\s/>])", re.I)
+_END_TAG = re.compile(r"</\w+[^<>]*>")
 #: Implied ends: a tag ends the open elements named, as far as the nearest one of the second names.
 _SCOPE = ("td", "th", "li", "dd", "div", "blockquote", "section", "article", "table")
 _ENDS = {
@@ -74,6 +76,7 @@ _CLOSES = {**dict.fromkeys(_ITEMS, (*_LISTS, "td", "th")), **dict.fromkeys(_TABL
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?")
 #: Signs at the head of a line: heading, item (with depth and label up to the second sign), code, row; and between cells.
 _SIGNS = dict.fromkeys((2, 3, 4, 5, 6, 7, 0x1F))
+_SMALL = {k: k + 32 for k in range(65, 91)}
 
 _INLINE = (
     ("link", re.compile(r"!?\[([^\[\]\n]*)\]\((?:https?://|mailto:|[./#]|\w+/|\w+\.\w)[^()\s]*(?:\s\"[^\"]*\")?\)"), r"\1"),
@@ -194,13 +197,27 @@ def _tree(text: str, page: Page) -> list[tuple[str, _Element, str]]:
                 return e.up
             e = e.up
 
-    for m in _TAG.finditer(text):
+    low, last_end = text.translate(_SMALL), {}
+
+    def ends_later(mark: str, after: int) -> bool:
+        if mark not in last_end:
+            last_end[mark] = low.rfind(mark)
+        return last_end[mark] >= after
+
+    def next_block(after: int) -> int:
+        m = _NEXT_BLOCK.search(text, after)
+        return m.start() if m else len(text)
+
+    while m := _TAG.search(text, at):
         if m.start() > at:
             events.append(("text", here, text[at : m.start()]))
         at = m.end()
         page.marked = True
         name = (m.group(2) or "").lower()
         if not name:
+            if m.group(0) == "<!--":
+                # a comment without an end goes as far as the next block
+                at = text.index("-->", at) + 3 if ends_later("-->", at) else next_block(at)
             continue
         if m.group(1) == "/":
             e = here
@@ -217,6 +234,14 @@ def _tree(text: str, page: Page) -> list[tuple[str, _Element, str]]:
         raw = m.group(3) or ""
         if raw and ("hidden" in raw.lower() or "display" in raw.lower() or name in ("ol", "li")):
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}
+        if name in _RAW:
+            # what stands in it is no markup
+            end = low.index(f"</{name}", at) if ends_later(f"</{name}", at) else next_block(at)
+            e = _Element(name, here, attributes)
+            events += [("open", e, ""), ("text", e, text[at:end]), ("close", e, "")]
+            tag = _END_TAG.match(text, end)
+            at = tag.end() if tag else end
+            continue
         last = _implied(name, here, count)
         if last is not None:
             here = close(last)
@@ -225,6 +250,9 @@ def _tree(text: str, page: Page) -> list[tuple[str, _Element, str]]:
             here.number = int(attributes["value"])
         if name in _VOID or (raw.endswith("/") and name not in _BLOCKS):
             events += [("open", e, ""), ("close", e, "")]
+        elif e.hidden and not here.hidden and not ends_later(f"</{name}", at) and not (name == "head" and ends_later("<body", at)):
+            # a hidden element without an end goes as far as the next block
+            at = next_block(at)
         elif name in _BLOCKS or name == "math" or e.hidden:
             here = e
             count[name] += 1
@@ -244,12 +272,12 @@ def _tree(text: str, page: Page) -> list[tuple[str, _Element, str]]:
     return events
 
 
-def _tags(text: str, page: Page) -> str:
+def _tags(text: str, page: Page, code: list[str]) -> str:
     """HTML to lines: the tree of open elements decides what is visible, where blocks begin and how deep lists are."""
     if "<" not in text:
         return text
     out: list[str] = []
-    code: list[str] = []
+    inner: list[str] = []
     pre: _Element | None = None
     for what, e, said in _tree(text, page):
         if e.hidden:
@@ -258,7 +286,7 @@ def _tags(text: str, page: Page) -> str:
         flat = e.cell is not None and not e.cell.layout
         if what == "text":
             if pre is not None:
-                code.append(said)
+                inner.append(said)
             elif re.search("[\x02-\x06]", said):
                 out.append(said)
             elif flat or (name in _HEADINGS and e.closed):
@@ -273,11 +301,14 @@ def _tags(text: str, page: Page) -> str:
                 out.append(said)
         elif pre is not None:
             if e is pre:
-                lines = html.unescape("".join(code)).translate(_SIGNS).strip("\n").split("\n")
-                out.append("\n\n" + "".join(f"\x04{line}\n" for line in lines) + "\n")
+                said = "".join(inner)
+                said = said if name == "syntaxhighlight" else html.unescape(said)
+                # code put aside within it comes back
+                said = re.sub(r"\x04(\d+)", lambda m: code[int(m.group(1))], said)
+                out.append(_aside(said.strip("\n"), code))
                 pre = None
             elif name == "br" and what == "open":
-                code.append("\n")
+                inner.append("\n")
         elif name in _HEADINGS:
             out.append(" " if flat else "\n\n" if what == "close" else "\n\n\x02")
             page.put("heading", "")
@@ -291,7 +322,7 @@ def _tags(text: str, page: Page) -> str:
                 label, e.up.number = f"{e.up.number}.", e.up.number + 1
             out.append("\n" if what == "close" else f"\n\x03{max(e.lists - 1, 0)},{label}\x06")
         elif name in ("pre", "syntaxhighlight"):
-            pre, code = e, []
+            pre, inner = e, []
             page.put("code", "")
         elif name == "math":
             out.append(" ")
@@ -319,32 +350,27 @@ def read(text: str | None) -> Page:
         name, body = m.group(1), m.group(2)
         page.marked = True
         base = name.rstrip("*")
-        if base in _CODE_ENVS:
-            page.put("code", "")
-            return "\n\n\x04" + body.strip("\n").replace("\n", "\n\x04") + "\n\n"
         if base in _MATH_ENVS:
             page.put("formula", "")
             return "\n\n" + body.strip() + "\n\n"
         return _LATEX_BLOCK.sub(environment, body)
 
+    # code lines are put aside first, so that nothing below reads what is in them
+    text, code = _code_blocks(text, page)
     if "\\" in text:
         text = _latex_lists(_LATEX_BLOCK.sub(environment, text), page)
         if _LATEX_HEADING.search(text):
             page.put("heading", "")
             text = _LATEX_HEADING.sub(lambda m: f"\n\n\x02{m.group(1)}\n\n", text)
-    lines = _code_blocks(text, page)
-    if page.marked and "code" in page.pieces:
-        outside = "\n".join(line for line in lines if not line.startswith("\x04"))
-    else:
-        outside = text
+    joined = _tags(text, page, code)
+    outside = re.sub(r"\x04\d+", "", joined)
     if any(p.search(outside) for p in _FORMULAS):
         page.put("formula", "")
-    joined = _tags("\n".join(lines), page)
     if _ENTITY.search(outside):
         unescaped = html.unescape(joined)
         page.marked |= unescaped != joined
         joined = unescaped
-    lines = joined.split("\n")
+    lines = [f"\x04{code[int(line[1:])]}" if line[:1] == "\x04" else line for line in joined.split("\n")]
     page.blocks.clear()
     _blocks(lines, page)
     return page
@@ -373,23 +399,36 @@ def _latex_lists(text: str, page: Page) -> str:
     return _LATEX_LIST.sub(token, text)
 
 
-def _code_blocks(text: str, page: Page) -> list[str]:
-    """Lines, those of fenced blocks marked as code and their fences gone."""
+def _aside(body: str, code: list[str]) -> str:
+    """Lines of code as signs with their numbers in ``code``, where they stay as they are."""
+    first = len(code)
+    code.extend(body.split("\n"))
+    return "\n\n" + "".join(f"\x04{k}\n" for k in range(first, len(code))) + "\n"
+
+
+def _code_blocks(text: str, page: Page) -> tuple[str, list[str]]:
+    """The text with its fenced and verbatim blocks put aside, whichever opens first, and their lines."""
     out: list[str] = []
-    lines = text.split("\n")
-    k = 0
-    while k < len(lines):
-        m = _FENCE.match(lines[k])
-        if m:
-            close = next((j for j in range(k + 1, len(lines)) if (c := _FENCE.match(lines[j])) and c.group(1)[0] == m.group(1)[0] and len(c.group(1)) >= len(m.group(1)) and not c.group(2)), len(lines))
-            page.put("code", "")
-            out.extend("\x04" + line for line in lines[k + 1 : close])
-            out.append("")
-            k = close + 1
-            continue
-        out.append(lines[k])
-        k += 1
-    return out
+    code: list[str] = []
+    at = 0
+    while m := _CODE.search(text, at):
+        out.append(text[at : m.start()])
+        page.put("code", "")
+        if m.group(1):
+            close = re.compile(rf"^ {{0,3}}{m.group(1)[0]}{{{len(m.group(1))},}}[ \t]*$", re.M).search(text, m.end())
+            end, at = (close.start(), close.end()) if close else (len(text), len(text))
+            body = text[m.end() + 1 : end]
+            body = body.removesuffix("\n") if close else body
+            empty = m.end() + 1 >= end
+        else:
+            mark = f"\\end{{{m.group(2)}}}"
+            end = text.find(mark, m.end())
+            end, at = (end, end + len(mark)) if end >= 0 else (len(text), len(text))
+            body = text[m.end() : end].strip("\n")
+            empty = not body
+        out.append("\n\n" if empty else _aside(body, code))
+    out.append(text[at:])
+    return "".join(out), code
 
 
 def _blocks(lines: list[str], page: Page) -> None:
@@ -403,19 +442,17 @@ def _blocks(lines: list[str], page: Page) -> None:
 
     k = 0
     if lines and lines[0].strip() == "---":
-        end = next((j for j in range(1, min(len(lines), 40)) if lines[j].strip() == "---"), 0)
+        end = next((j for j in range(1, len(lines)) if lines[j].strip() == "---"), 0)
         if end and all(re.match(r"[\w-]+:\s", x) or not x.strip() for x in lines[1:end]):
             page.marked = True
             k = end + 1
-    in_code = False
     while k < len(lines):
         line = lines[k]
         nxt = lines[k + 1] if k + 1 < len(lines) else ""
         sign, rest = line[:1], line[1:]
-        if sign == "\x04" or (in_code and line.strip()):
+        if sign == "\x04":
             flush()
-            page.put("code", rest if sign == "\x04" else line)
-            in_code = sign == "\x04"
+            page.put("code", rest)
         elif sign == "\x02":
             flush()
             page.put("heading", _inline(rest.strip(), page))
@@ -428,7 +465,6 @@ def _blocks(lines: list[str], page: Page) -> None:
             flush()
             page.put("row", _inline(rest.lstrip("\x1f"), page))
         elif not line.strip():
-            in_code = False
             flush()
         elif m := _WIKI_HEADING.match(line):
             flush()

@@ -217,6 +217,21 @@ def test_nested_lists_and_visibility():
     assert markup.read("<b>" * 20000 + "<div><li>" * 20000 + "x").render().endswith("x")
 
 
+def test_code_stays_and_nothing_unclosed_hides_the_rest():
+    code = 'List<p> x = a &lt; b; <!-- c\n<script>\n\\section{y} $x_1$ - no\n\n<b>z</b>'
+    page = markup.read(f"a\n\n```java\n{code}\n```\nb **c**")
+    assert page.render() == f"a\n\n{code}\n\nb c" and page.pieces == {"code"}
+    assert markup.read(f"\\begin{{verbatim}}\n{code}\n```\n\\end{{verbatim}}\n# d").render() == f"{code}\n```\n\nd"
+    assert markup.read("<syntaxhighlight lang=x>List<p> &lt;</syntaxhighlight>y").render() == "List<p> &lt;\n\ny"
+    for opened in ("<script>var a;", "<style>p", "<head><title>t", "<!-- c", "<template>c", "<span hidden>c"):
+        page = markup.read(f"a {opened}\n\n# B\n\n- d")
+        assert page.render() == "a\n\nB\n\n- d" and page.pieces == {"heading", "list"}
+        assert markup.read(f"a {opened}\n```\n<p>\n```").render() == "a\n\n<p>"
+    assert markup.read("İİ <script>a <p> b</SCRIPT> c <!-- d --> e").render().split() == ["İİ", "c", "e"]
+    front = "---\n" + "".join(f"key{i}: x\n" for i in range(60)) + "---\ntext"
+    assert markup.read(front).marked and markup.read(front).render() == "text"
+
+
 # quality
 
 
