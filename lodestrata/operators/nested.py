@@ -253,18 +253,27 @@ def groups(triples_df: DataFrame) -> DataFrame:
 
 
 def flat_table(triples_df: DataFrame, id_column: str, group: str | Column, fields: dict[str, str]) -> DataFrame:
-    """One group pivoted: (id, node_path, parent_path, ordinal, one text column for each of ``fields``).
+    """Groups pivoted: (id, grp, node_path, parent_path, ordinal, one text column for each of ``fields``, rest, n_scalars).
 
-    fields maps a pointer below the node to the column's name.  Fields that a node lacks, or holds as JSON null,
-    are null.  A node has one row however often its record came again.
+    fields maps a pointer below the node to the column's name; the scalars at all other pointers stand in the map
+    ``rest``, JSON null as null.  Fields that a node lacks, or holds as JSON null, are null.  A node has one row
+    however often its record came again.
     """
     mine = F.col("grp").rlike(group) if isinstance(group, str) else group
-    wide = [F.max(F.when(F.col("field") == ptr, F.col("value"))).alias(name) for ptr, name in fields.items()]
-    count = F.size(F.collect_set("field")).alias("n_scalars")
-    return triples_df.filter(mine & (F.col("node_path") != "")).groupBy(id_column, "node_path", "parent_path", "ordinal").agg(*wide, count)
+    return _pivoted(triples_df.filter(mine & (F.col("node_path") != "")), [id_column, "grp", "node_path", "parent_path", "ordinal"], fields)
 
 
 def record_table(triples_df: DataFrame, id_column: str, fields: dict[str, str]) -> DataFrame:
-    """The scalars outside any node, one row per record that has one: (id, one text column for each field)."""
+    """The scalars outside any node, one row per record that has one: (id, one text column for each field, rest, n_scalars)."""
+    return _pivoted(triples_df.filter("node_path = ''"), [id_column], fields)
+
+
+def _pivoted(rows: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
     wide = [F.max(F.when(F.col("field") == ptr, F.col("value"))).alias(name) for ptr, name in fields.items()]
-    return triples_df.filter("node_path = ''").groupBy(id_column).agg(*wide, F.size(F.collect_set("field")).alias("n_scalars"))
+    other = ~F.col("field").isin(list(fields)) if fields else F.col("field").isNotNull()
+    rest = F.array_sort(F.collect_set(F.when(other, F.struct("field", F.coalesce(F.col("value"), F.lit("")).alias("order"), "value"))))
+    out = rows.groupBy(*keys).agg(*wide, rest.alias("__rest"), F.size(F.collect_set("field")).alias("n_scalars"))
+    # of a repeated key the greatest value, which is its last
+    last = F.filter("__rest", lambda x, i: ~F.coalesce(F.get("__rest", i + 1)["field"] == x["field"], F.lit(False)))
+    entries = F.transform(last, lambda x: F.struct(x["field"].alias("key"), x["value"].alias("value")))
+    return out.select(*keys, *fields.values(), F.map_from_entries(entries).alias("rest"), "n_scalars")

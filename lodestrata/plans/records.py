@@ -1,4 +1,7 @@
-"""Queries over nested records (problem 1)."""
+"""Queries over nested records (problem 1).
+
+Of each node a flat table names the usual fields; all its other scalars stand in the map ``rest`` beside them.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,9 @@ from ..operators import nested
 from ..session import table
 
 
+_PARAMS, _POLLED = r"^/events/\*/params/", r"^/polledData/"
+
+
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.triples(table(spark, sf_dir, "netlog_captures"), "capture_id", "record")
 
@@ -34,19 +40,19 @@ def p1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lists below an event's params, in one table with the event as parent or ancestor."""
+    """The lists below an event's params, with the event as parent or ancestor; ``grp`` names each list's table."""
     fields = {"/address": "address", "/port": "port", "/stream": "stream", "/bytes": "bytes", "/name": "name", "/subject": "subject", "/dns": "dns", "/ms": "ms", "/n": "n"}
-    return nested.flat_table(_triples(spark, sf_dir), "capture_id", r"^/events/\*/params/", fields)
+    return nested.flat_table(_triples(spark, sf_dir), "capture_id", _PARAMS, fields)
 
 
 def p1_polled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lists below polledData: sessions, streams, socket pools at any depth, alternative services."""
+    """The lists below polledData: sessions, streams, socket pools at any depth, alternative services; by ``grp``."""
     fields = {"/source_id": "source_id", "/host_port_pair": "host_port_pair", "/id": "id", "/name": "name", "/max": "max", "/server": "server", "/alpn": "alpn", "/port": "port"}
-    return nested.flat_table(_triples(spark, sf_dir), "capture_id", r"^/polledData/", fields)
+    return nested.flat_table(_triples(spark, sf_dir), "capture_id", _POLLED, fields)
 
 
 def p1_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record's own scalars that every capture should have."""
+    """The record's own scalars: those that every capture should have, and in ``rest`` all others outside lists."""
     fields = {
         "/constants/clientInfo/name": "client_name",
         "/constants/clientInfo/version": "client_version",
@@ -56,10 +62,16 @@ def p1_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.record_table(_triples(spark, sf_dir), "capture_id", fields)
 
 
+def p1_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists that none of the tables above holds: those of the constants, and wherever else records have some."""
+    held = (F.col("grp") == "/events/*") | F.col("grp").rlike(_PARAMS) | F.col("grp").rlike(_POLLED)
+    return nested.flat_table(_triples(spark, sf_dir), "capture_id", ~held, {"/trial": "trial", "/group": "group"})
+
+
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables that the records fall into."""
     return nested.groups(_triples(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_params, p1_polled, p1_constants, p1_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_params, p1_polled, p1_constants, p1_others, p1_groups)}
 SQL: dict[str, str] = {}

@@ -70,6 +70,31 @@ def test_tables(spark):
     assert nested.triples(df.limit(0), "id", "record").count() == 0
 
 
+def test_tables_keep_every_scalar(spark, tmp_path):
+    from lodestrata.plans import records
+
+    record = {
+        "constants": {"logEventTypes": {"A": 1}, "trials": [{"trial": "t", "x": {"y": 2}}]},
+        "events": [{"type": 5, "params": {"url": "u", "note": None, "l": [{"name": "n", "value": "v"}, {"aliases": ["p", "q"]}]}}],
+        "polledData": {"capacity": 9, "pools": [{"name": "s", "groups": {"g": {"pending": 3, "idle": [{"id": 1}]}}}]},
+        "more": [{"z": True}],
+    }
+    text = json.dumps(record)[:-1] + ', "twice": 1, "twice": null, "twice": 2}'
+    df = spark.createDataFrame([(1, text), (1, text), (2, None)], "capture_id bigint, record string")
+    df.write.parquet(str(tmp_path / "netlog_captures.parquet"))
+    tables = [records.p1_events, records.p1_params, records.p1_polled, records.p1_others, records.p1_constants]
+    got = set()
+    for query in tables:
+        for r in query(spark, str(tmp_path)).collect():
+            named = {k: v for k, v in r.asDict().items() if k not in ("capture_id", "grp", "node_path", "parent_path", "ordinal", "rest", "n_scalars") and v is not None}
+            assert r.n_scalars == len(named) + len(r.rest)
+            path = getattr(r, "node_path", "")
+            got |= {(path, v) for v in (*named.values(), *r.rest.values())}
+            assert query is records.p1_constants or r.grp.replace("*", "0") == path.replace("/1", "/0")
+    want = {(n.path, v) for n in nested.parse(text) for f, v, _ in n.fields if f != "/twice"}
+    assert got == want | {("", "2")} and len(want) == 15
+
+
 def test_stream(spark, tmp_path):
     from lodestrata.streaming import captures
 
