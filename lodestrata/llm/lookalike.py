@@ -1,8 +1,8 @@
 """Visually identical text with different characters: one consistent form, and the rows that share it.
 
 Inside each Arrow partition DuckDB runs one embedded SQL expression: widths and spaces are mapped with
-``translate``, invisible characters removed with a regular expression, accents composed with ``nfc_normalize`` and
-look-alike letters of other scripts mapped to Latin ones.  Letter case, accents, raised digits and punctuation of
+``translate``, invisible characters removed with a regular expression, look-alike letters of other scripts and
+compatibility forms mapped to Latin ones and then accents composed with ``nfc_normalize``.  Letter case, accents, raised digits and punctuation of
 other shape stay apart.  Pairs are then built from classes of equal form: first the classes of equal characters,
 then pairs of classes, then their members, so copies with equal characters never meet each other.
 
@@ -12,6 +12,7 @@ repeated rows count once; a text with no character to map is its own form.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,9 +33,37 @@ _SPACES = "               　"
 _HYPHENS = "‐‑"
 #: Characters without a visible mark: soft hyphen, joiners, direction marks, fillers, variation selectors.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0100}-\x{E01EF}]"
+#: More of them: fillers of Hangul and tag characters.
+_FILLERS = r"[\x{115F}\x{1160}\x{3164}\x{FFA0}\x{E0000}-\x{E007F}]"
 #: Letters of the Cyrillic and Greek scripts drawn like Latin ones.
 _LETTERS = "аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧονёЁїЇό"
 _LATIN = "aeopcyxsijhdqwABESIJKMHOPCTYXABEZHIKMNOPTYXovëËïÏó"
+#: All letters of the Cyrillic, Greek and Armenian scripts drawn like Latin ones or digits.
+_LOOK = dict(
+    zip(
+        "аеорсухѕіјһԁԛԝѵүӏгҽбАВЕЅІЈКМНОРСТУХԌԚԜѴҮӀЬЗ" + "αγινορσυϲϳϱΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜϺ" + "ՏօՕհոսզգցյքՍԼ",
+        "aeopcyxsijhdqwvylre6ABESIJKMHOPCTYXGQWVYIb3" + "ayivopoucjpABEZHIKMNOPTYXCJFM" + "SoOhnuqqgjfUL",
+        strict=True,
+    )
+)
+
+
+def _folded(c: str) -> str:
+    """What a single character of another script or of a compatibility form is drawn like."""
+    if 0xFF00 <= ord(c) <= 0xFFEF:
+        return "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split()[1:]) or c
+    return unicodedata.normalize("NFC", "".join(_LOOK.get(x, x) for x in unicodedata.normalize("NFKD" if ord(c) >= 0x2000 else "NFD", c)))
+
+
+def _rare(ranges: tuple[tuple[int, int], ...]) -> dict[str, str]:
+    """Accented look-alikes, half-width Hangul and signs, ligatures, Roman numerals, mathematical letters and digits."""
+    every = (chr(k) for first, last in ranges for k in range(first, last + 1))
+    known = set(_LOOK) | set(_HALF) | {"ﾠ"}
+    return {c: f for c in every if c not in known and (f := _folded(c)) not in (c, unicodedata.normalize("NFC", c))}
+
+
+_RARE = _rare(((0x370, 0x58F), (0x1F00, 0x1FFF), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFF5F, 0xFF60), (0xFFA1, 0xFFDC), (0xFFE8, 0xFFEE), (0x1D400, 0x1D7FF)))
+_RARE_CLASS = r"[\x{0370}-\x{058F}\x{1F00}-\x{1FFF}\x{2160}-\x{217F}\x{FB00}-\x{FB17}\x{FF5F}\x{FF60}\x{FFA1}-\x{FFDC}\x{FFE8}-\x{FFEE}\x{1D400}-\x{1D7FF}]"
 
 
 def _quoted(text: str) -> str:
@@ -45,8 +74,15 @@ def form_sql(column: str) -> str:
     """The consistent form as an expression of DuckDB's SQL."""
     width_from, width_to = _WIDE + _HALF + _SPACES + _HYPHENS, _NARROW + _FULL + " " * len(_SPACES) + "-" * len(_HYPHENS)
     wide = f"translate({column}, {_quoted(width_from)}, {_quoted(width_to)})"
-    seen = f"regexp_replace({wide}, '{INVISIBLE}', '', 'g')"
-    return f"nfc_normalize(translate(nfc_normalize({seen}), {_quoted(_LETTERS)}, {_quoted(_LATIN)}))"
+    seen = f"regexp_replace({wide}, '{INVISIBLE[:-1]}{_FILLERS[1:]}', '', 'g')"
+    # letters are mapped before accents are composed, so that an accent composes with the Latin letter
+    single = {c: f for c, f in _RARE.items() if len(f) == 1} | _LOOK
+    mapped = f"translate(t, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"
+    for c, f in _RARE.items():
+        if len(f) > 1:
+            mapped = f"replace({mapped}, {_quoted(c)}, {_quoted(f)})"
+    # only texts with such a character pay for the long map
+    return f"list_transform([{seen}], lambda t: nfc_normalize(CASE WHEN regexp_matches(t, '{_RARE_CLASS}') THEN {mapped} ELSE t END))[1]"
 
 
 def forms(df: DataFrame, id_column: str, text_column: str, memory_mb: int = 256) -> DataFrame:

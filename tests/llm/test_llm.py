@@ -95,6 +95,18 @@ def test_pairs_that_look_the_same(spark):
     assert forms[9] is None and forms[1] == "Paper 10" and forms[6] == unicodedata.normalize("NFC", "Páper 10")
 
 
+def test_look_alikes_with_accents_and_compatibility_forms(spark):
+    groups = [
+        ["ä", "а\u0308", "ӓ", "a\u0308"], ["ö", "о\u0308", "ӧ", "օ\u0308"], ["è", "ѐ", "е\u0300"], ["ă", "ӑ"], ["ĕ", "ӗ"], ["ó", "ό", "\u1f79"],
+        ["ㄱㅏ", "ﾡￂ"], ["ab", "a\u3164b", "a\U000e0041b", "a\u115fb"], ["file", "ﬁle", "𝐟𝐢𝐥𝐞"], ["IV", "Ⅳ", "Ӏѵ".replace("ѵ", "Ѵ")], ["pai", "ραι"], ["v\u030f", "ѷ"],
+        ["hn", "հո"], ["Y", "Ү"], ["a\u0313\u0301", "ἄ"], ["й"], ["и"], ["x²"], ["x2"], ["Paper"], ["paper"], ["I"], ["l"],
+    ]
+    texts = [t for g in groups for t in g]
+    of = [k for k, g in enumerate(groups) for _ in g]
+    got = {(r.id_a, r.id_b) for r in lookalike.pairs({"t": (frame(spark, texts), "id", "text")}).collect()}
+    assert got == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if of[a] == of[b]}
+
+
 # sentences
 
 SPLIT = [
