@@ -7,17 +7,18 @@ there.  The sentence itself is cut from the unmasked text by its offsets.
 
 Defined cases: null and blank texts have no sentence; a text that holds the two private-use characters itself is
 split as if they were letters; several rows with equal keys and texts give their sentences once; offsets count
-code points, the end is exclusive, surrounding white space is outside.  A quotation or bracket of another script
-than ASCII's double quote counts as one up to ``NESTED`` characters.
+code points, the end is exclusive, surrounding white space is outside.  A quotation or bracket of any length
+counts as one if it is opened and closed in one paragraph; unpaired signs hold nothing back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HELD, END = "", ""
-NESTED = 600
 
 _S = r"[\s\p{Z}]"
 _MARKS = ".!?…。！？．｡؟۔।॥።"
@@ -53,8 +54,43 @@ def _quoted(paragraph: Column) -> Column:
     return F.array_join(F.transform(pieces, inside), '"')
 
 
-def masked(text: Column) -> Column:
-    """The copy in which every mark that ends no sentence is held back; as long as the text."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _bracketed(opening: str, closing: str) -> Callable[[Column], Column]:
+    """Mask the marks in brackets that are opened and closed, but for those right before the outermost closing one."""
+    return lambda p: F.when(F.contains(p, F.lit(opening)) & F.contains(p, F.lit(closing)), _in_pairs(p, opening, closing)).otherwise(p)
+
+
+def _in_pairs(paragraph: Column, opening: str, closing: str) -> Column:
+    """Pieces begin with a bracket.  One lies inside if the depth after its bracket is undercut later."""
+
+    def depth_after(so_far: Column, piece: Column) -> Column:
+        step = F.when(F.startswith(piece, F.lit(opening)), 1).when(F.startswith(piece, F.lit(closing)), -1).otherwise(0)
+        return F.concat(so_far, F.array(F.greatest(F.coalesce(F.get(so_far, F.size(so_far) - 1), F.lit(0)) + step, F.lit(0))))
+
+    def least_later(so_far: Column, depth: Column) -> Column:
+        return F.concat(so_far, F.array(F.least(F.get(so_far, F.size(so_far) - 1), depth)))
+
+    def held(pieces: Column, inside: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            tail = F.when(F.coalesce(F.get(inside, i + 1), F.lit(False)), F.lit("")).otherwise(F.regexp_extract(piece, f"[{_MARKS}]*\\z", 0))
+            return F.when(F.get(inside, i), _let(tail, lambda t: F.concat(F.translate(F.substring(piece, F.lit(1), F.length(piece) - F.length(t)), _MARKS, HELD * len(_MARKS)), t))).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    def by_depth(pieces: Column, depths: Column) -> Column:
+        later = F.aggregate(F.reverse(depths), F.array(F.lit(2**31 - 1)), least_later)
+        return _let(later, lambda low: _let(F.transform(depths, lambda d, i: F.get(low, F.size(depths) - 1 - i) < d), lambda inside: held(pieces, inside)))
+
+    pieces = F.split(paragraph, f"(?=[\\{opening}\\{closing}])", -1)
+    return _let(pieces, lambda p: _let(F.aggregate(p, F.expr("cast(array() as array<int>)"), depth_after), lambda d: by_depth(p, d)))
+
+
+def masked(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """The copy in which every mark that ends no sentence is held back, as a column; as long as the text."""
     t = F.translate(text, HELD + END, "xx")
     # each pattern begins with the mark, so what stands before is looked at only where a mark stands
     t = _hold(t, r"[.．](?<=\d[.．])(?=\d)")
@@ -66,19 +102,18 @@ def masked(text: Column) -> Column:
     t = _hold(t, r"\.(?<=(?<![\p{L}\p{N}])[zdusmioavтpa]\.)(?=" + _S + r"?[BhaUÄOÖmeкMе]\b\.)")
     t = _hold(t, r"\.(?<=(?:(?<![\p{L}\p{N}])z\x{E000}" + _S + r"?B|(?<![\p{L}\p{N}])d\x{E000}" + _S + r"?h|(?<![\p{L}\p{N}])u\x{E000}" + _S + r"?a)\.)")
     t = _hold(t, r"\.(?<=(?<![\p{L}\p{N}.])\p{Lu}\.)(?=" + _S + r"?\p{Lu})")
-    for opening, closing in ("「」", "『』", "（）", "()", "[]", "【】", "《》"):
-        o, c = "\\" + opening, "\\" + closing
-        t = _hold(t, f"[{_MARKS}](?=[{_MARKS}]*[^{_MARKS}{o}{c}][^{o}{c}]{{0,{NESTED}}}{c})")
     # typographic double quotes are read as the plain one, paragraph by paragraph
     plain = F.translate(t, "„“”«»＂", '""""""')
     paragraphs = F.split(F.regexp_replace(plain, r"(\n[ \t]*(?=\n))", "$1" + END), END, -1)
-    quoted = F.array_join(F.transform(paragraphs, _quoted), "")
-    return quoted
+    df = df.withColumn(name, paragraphs)
+    # one kind of bracket after the other, as columns: nested in one expression they are too deep to be analysed
+    for opening, closing in ("「」", "『』", "（）", "()", "[]", "【】", "《》"):
+        df = df.withColumn(name, F.transform(name, _bracketed(opening, closing)))
+    return df.withColumn(name, F.array_join(F.transform(name, _quoted), ""))
 
 
-def marked(text: Column) -> Column:
-    """The masked copy with a sign at each end of a sentence."""
-    t = masked(text)
+def marked(t: Column) -> Column:
+    """The masked copy t with a sign at each end of a sentence."""
     here = "$1" + END
     # a blank line
     t = F.regexp_replace(t, r"(\n[ \t]*(?=\n))", here)
@@ -104,7 +139,8 @@ def spans(df: DataFrame, keys: list[str], text_column: str) -> DataFrame:
     text is cut before.
     """
     rows = df.select(*keys, F.col(text_column).cast("string").alias("__text")).filter(F.regexp_like("__text", F.lit(r"[^\s\p{Z}]"))).distinct()
-    pieces = rows.select(*keys, F.xxhash64("__text").alias("__row"), F.posexplode(F.split(marked(F.col("__text")), END, -1)).alias("__n", "__piece"))
+    rows = masked(rows, F.col("__text"), "__masked")
+    pieces = rows.select(*keys, F.xxhash64("__text").alias("__row"), F.posexplode(F.split(marked(F.col("__masked")), END, -1)).alias("__n", "__piece"))
     before = F.length(F.regexp_extract("__piece", r"\A[\s\p{Z}]*", 0))
     after = F.length(F.regexp_extract("__piece", r"[\s\p{Z}]*\z", 0))
     pieces = pieces.select(*keys, "__row", "__n", F.length("__piece").alias("__size"), before.alias("__before"), after.alias("__after"))

@@ -135,6 +135,23 @@ def test_sentences(spark):
     assert all(r.sentence == texts[r.id][r.start_pos : r.end_pos] for r in sentences.sentences(df, ["id"], "text").collect())
 
 
+def test_brackets_of_any_length_and_unpaired_ones(spark):
+    long, link = "Ab cd. " * 200, "https://a.example/" + "x.Y" * 200
+    split = [
+        (f"He said ({long}end) so. Then.", [f"He said ({long}end) so.", "Then."]),
+        ("彼は「" + "だめだ。" * 300 + "うん」と言った。次。", ["彼は「" + "だめだ。" * 300 + "うん」と言った。", "次。"]),
+        ("A (b. (c. D) E. F) g. Then.", ["A (b. (c. D) E. F) g.", "Then."]),
+        ("One. Two. 3) Three. Nice :) Yes.", ["One.", "Two.", "3) Three.", "Nice :) Yes."]),
+        ("One (two. Three. Four.", ["One (two.", "Three.", "Four."]),
+        (f"See {link}.Z now. Yes.", [f"See {link}.Z now.", "Yes."]),
+    ]
+    got: dict[int, list] = {}
+    for r in sentences.spans(frame(spark, [t for t, _ in split]), ["id"], "text").collect():
+        got.setdefault(r.id, []).append((r.start_pos, r.end_pos))
+    for i, (text, want) in enumerate(split):
+        assert [text[a:b] for a, b in sorted(got[i])] == want
+
+
 # repetition
 
 
