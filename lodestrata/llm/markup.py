@@ -97,7 +97,8 @@ class Page:
     """Blocks in the order of the text, and what was marked up."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, str, str]] = []
+        self.blocks: list[tuple[str, int, str]] = []
+        self.labels: dict[int, str] = {}
         self.pieces: set[str] = set()
         self.marked = False
 
@@ -106,13 +107,15 @@ class Page:
             self.pieces.add(kind)
             self.marked = True
         if text.strip() or kind in ("code", "formula"):
-            self.blocks.append((kind, depth, text, label))
+            if label != "-":
+                self.labels[len(self.blocks)] = label
+            self.blocks.append((kind, depth, text))
 
     def render(self) -> str:
         out: list[str] = []
         rows: list[list[str]] = []
         last = ""
-        for kind, depth, text, label in [*self.blocks, ("end", 0, "", "")]:
+        for k, (kind, depth, text) in enumerate([*self.blocks, ("end", 0, "")]):
             if kind == "row":
                 rows.append([" ".join(c.split()) for c in text.split("\x1f")])
                 continue
@@ -124,7 +127,7 @@ class Page:
             if kind == "end":
                 break
             gap = "" if not out else "\n" if kind == last and kind in ("list", "code") else "\n\n"
-            body = "  " * depth + f"{label} " + " ".join(text.split()) if kind == "list" else text.strip("\n") if kind in ("code", "formula") else text.strip()
+            body = "  " * depth + f"{self.labels.get(k, '-')} " + " ".join(text.split()) if kind == "list" else text.strip("\n") if kind in ("code", "formula") else text.strip()
             out.append(gap + body)
             last = kind
         return "".join(out).strip()
@@ -372,6 +375,7 @@ def read(text: str | None) -> Page:
         joined = unescaped
     lines = [f"\x04{code[int(line[1:])]}" if line[:1] == "\x04" else line for line in joined.split("\n")]
     page.blocks.clear()
+    page.labels.clear()
     _blocks(lines, page)
     return page
 
