@@ -19,7 +19,6 @@ _BLANK_LINE = re.compile(r"\r?\n[ \t]*\r?\n")
 _FOLD = re.compile(r"\r?\n[ \t]+")
 _PARAM = re.compile(r';\s*([\w*-]+)\s*=\s*("(?:[^"\\]|\\.)*"|[^;\s]+)')
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]+")
-_DEEPEST = 12
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|blockquote|pre|hr|body|html|dl|dt|dd|section|article|center|form)\b[^<>]*>", re.I)
@@ -82,35 +81,41 @@ def decode(body: str, encoding: str, charset: str) -> str:
 
 
 def parts(entity: str | None) -> list[Part]:
-    """The text parts of a mail, decoded, in order; parts that aren't text are left out."""
-    if not entity:
-        return []
+    """The text parts of a mail at any depth, decoded, in order; parts that aren't text are left out."""
     found: list[Part] = []
-    _walk(entity, found, 0)
+    waiting = [entity] if entity else []
+    while waiting:
+        head, body = _split(waiting.pop())
+        value = head.get("content-type", "")
+        kind = value.partition(";")[0].strip().lower() or "text/plain"
+        params = _params(value) if ";" in value else {}
+        if kind.startswith("multipart/"):
+            inner = _pieces(body, params["boundary"]) if params.get("boundary") else None
+            if inner is not None:
+                waiting += reversed(inner)
+                continue
+            kind = "text/plain"
+        if kind == "message/rfc822":
+            # its body is shorter than itself, so this ends
+            waiting.append(decode(body, head.get("content-transfer-encoding", ""), params.get("charset", "")))
+        elif kind.startswith("text/"):
+            attached = "attachment" in head.get("content-disposition", "").lower() or "name" in params
+            found.append(Part(kind, attached, decode(body, head.get("content-transfer-encoding", ""), params.get("charset", ""))))
     return found
 
 
-def _walk(entity: str, found: list[Part], depth: int) -> None:
-    head, body = _split(entity)
-    value = head.get("content-type", "")
-    kind = value.partition(";")[0].strip().lower() or "text/plain"
-    params = _params(value) if ";" in value else {}
-    if kind.startswith("multipart/") and params.get("boundary") and depth < _DEEPEST:
-        mark = "--" + params["boundary"]
-        pieces = re.split(r"(?:\A|\r?\n)" + re.escape(mark) + r"(--)?[ \t]*(?=\r?\n|\Z)", body)
-        if len(pieces) > 1:
-            # pieces: preamble, closing mark or None, piece, closing mark or None, piece, ...
-            for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-                if closing:
-                    break
-                _walk(piece[2:] if piece[:2] == "\r\n" else piece[1:], found, depth + 1)
-            return
-        kind = "text/plain"
-    if kind == "message/rfc822" and depth < _DEEPEST:
-        _walk(decode(body, head.get("content-transfer-encoding", ""), params.get("charset", "")), found, depth + 1)
-    elif kind.startswith("text/"):
-        attached = "attachment" in head.get("content-disposition", "").lower() or "name" in params
-        found.append(Part(kind, attached, decode(body, head.get("content-transfer-encoding", ""), params.get("charset", ""))))
+def _pieces(body: str, boundary: str) -> list[str] | None:
+    """The pieces of a multipart body as far as it goes; None if the boundary doesn't occur."""
+    cut = re.split(r"(?:\A|\r?\n)" + re.escape("--" + boundary) + r"(--)?[ \t]*(?=\r?\n|\Z)", body)
+    if len(cut) == 1:
+        return None
+    inner: list[str] = []
+    # cut: preamble, closing mark or None, piece, closing mark or None, piece, ...
+    for closing, piece in zip(cut[1::2], cut[2::2], strict=True):
+        if closing:
+            break
+        inner.append(piece[2:] if piece[:2] == "\r\n" else piece[1:])
+    return inner
 
 
 def without_tags(source: str) -> str:

@@ -25,13 +25,13 @@ PIECES = ("heading", "list", "code", "formula")
 
 _TAGS = "a abbr article aside b big blockquote body br center cite code col dd del div dl dt em fig figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i img input ins kbd label li link main mark math meta mi mn mo mrow msqrt msub msup nav nowiki ol option p pre q ref s samp script section select small source span strike strong style sub sup syntaxhighlight table tbody td template tfoot th thead title tr tt u ul var video"
 _TAG = re.compile(r"<!--|<(/?)(" + "|".join(sorted(_TAGS.split(), key=len, reverse=True)) + r")(?=[\s/>])((?:[^<>\"'\x04]|\"[^\"\x04]*\"|'[^'\x04]*')*)>|<!doctype[^>]*>", re.I | re.S)
-_ENTITY = re.compile(r"&(?:[a-zA-Z]{2,10}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
+_ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]*|#\d+|#x[0-9a-fA-F]+);")
 _CODE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\S\n]*[\w+-]*[^\S\n]*$|\\begin\{((?:verbatim|lstlisting|minted|Verbatim)\*?)\}", re.M)
 _ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*\Z")
 _SETEXT = re.compile(r" {0,3}(=+|-{3,})[ \t]*\Z")
 _WIKI_HEADING = re.compile(r"(={2,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*\Z")
 _BULLET = re.compile(r"([ \t]*)([-*+])[ \t]+(\[[ xX]\][ \t]+)?(\S.*)\Z")
-_ORDERED = re.compile(r"([ \t]*)(\d{1,4})\.[ \t]+(\S.*)\Z")
+_ORDERED = re.compile(r"([ \t]*)(\d{1,9})\.[ \t]+(\S.*)\Z")
 _WIKI_ITEM = re.compile(r"([#*]+|[:;]+)[ \t]*(\S.*)\Z")
 _WIKI = re.compile(r"\[\[|\{\{\w+\||''|\[https?://\S+ [^\]]*\]|^==[^=].*==\s*\Z")
 _TABLE_RULE = re.compile(r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\Z")
@@ -80,7 +80,7 @@ _SMALL = {k: k + 32 for k in range(65, 91)}
 
 _INLINE = (
     ("link", re.compile(r"!?\[([^\[\]\n]*)\]\((?:https?://|mailto:|[./#]|\w+/|\w+\.\w)[^()\s]*(?:\s\"[^\"]*\")?\)"), r"\1"),
-    ("link", re.compile(r"(?<!\w)!?\[([^\[\]\n]+)\]\[[^\[\]\n]{0,40}\]|(?<=\w)\[([^\[\]\n]+)\]\[[^\[\]\n]{0,40}\]"), lambda m: m.group(1) or m.group(2)),
+    ("link", re.compile(r"(?<!\w)!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]|(?<=\w)\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), lambda m: m.group(1) or m.group(2)),
     ("wiki", re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]"), r"\1"),
     ("wiki", re.compile(r"\[https?://[^\s\]]+ ([^\[\]]*)\]"), r"\1"),
     ("wiki", re.compile(r"\{\{[A-Za-z][\w -]*\|(?:[^{}|]*\|)*([^{}]*)\}\}"), r"\1"),
@@ -146,15 +146,6 @@ def _inline(text: str, page: Page) -> str:
     return text
 
 
-def _formula(text: str, page: Page) -> str:
-    for pattern in _FORMULAS:
-        if pattern.search(text):
-            page.put("formula", "")
-            page.blocks.pop()
-            text = pattern.sub(lambda m: m.group(0), text)
-    return text
-
-
 class _Element:
     """An open element of the tree: where it stands, whether it shows, and how deep in lists it is."""
 
@@ -480,7 +471,7 @@ def _blocks(lines: list[str], page: Page) -> None:
         elif (m := _ATX.match(line)):
             flush()
             page.put("heading", _inline(m.group(2), page))
-        elif nxt and _SETEXT.match(nxt) and not paragraph and len(line) < 120 and (nxt.strip()[0] == "=" or not lines[k + 2 : k + 3] or not lines[k + 2].strip()):
+        elif nxt and _SETEXT.match(nxt) and not paragraph and (nxt.strip()[0] == "=" or not lines[k + 2 : k + 3] or not lines[k + 2].strip()):
             flush()
             page.put("heading", _inline(line.strip(), page))
             k += 1

@@ -12,15 +12,17 @@ corpus_type are carried along as they are, since their spelling and freshness sa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lookalike, markup
 from .lexicon import COMMON_WORDS
-from .plain import plain
+from .plain import with_plain
 
 #: At most about so many documents are read closely to learn the rules.
 SAMPLE = 3000
@@ -30,63 +32,107 @@ MEASURES = ["prose", "common", "letters", "mixed", "garbled", "ended_lines", "me
 _LETTERS = "".join(c for c in lookalike._NARROW if c.isalnum())
 _WIDE_LETTERS = "".join(chr(ord(c) + 0xFEE0) for c in _LETTERS)
 _COMMON = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-_ENDS = r"[.!?…](?=[\s\p{Z}\"'”’»)\]]|\z)|[。！？｡।።؟]"
-_UNSPACED = r"[\x{0E00}-\x{0EFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+#: Most characters of most texts, none of which ends a sentence: looked at first.
+_USUAL = r"(?![a-zA-Z0-9 ,\x{00C0}-\x{052F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}])"
+_ENDS = _USUAL + r"(?:[.!?…](?=[\s\"'”’»)\]]|\z)|[。！？｡।።؟])"
+_CLOSED = _USUAL + r"[.!?…。！？｡।።؟][\"'”’»)\]」』）】]*[ \t]*(?=\n|\z)"
+_UNSPACED = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{0E00}-\x{0EFF}\x{3400}-\x{4DBF}]+"
 _GARBLED = r"[ÃÂâãåæçäèéïð][\x{0080}-\x{00BF}\x{2010}-\x{2122}\x{0152}-\x{0178}]|\x{FFFD}"
-#: Lines that are an item, a row of cells or a menu whatever stands around them.
-_ITEM = r"^\s*(?:[-*•–—→‣▪+]\s|\(?(?:\d{1,3}|[a-z])[.)]\s|\[[ xX]\]|\|)|\t[^\t]*\t|\S {2,}\S+ {2,}\S| [;|›·/] [^;|›·/]* [;|›·/] |^(?:[^\s\p{Z},]*,){2,}[^\s\p{Z},]*$"
+#: Characters to even out stand in these ranges only.
+_UNEVEN = r"[\x{00A0}\x{00AD}\x{034F}\x{061C}\x{17B4}-\x{206F}\x{3000}\x{FE00}-\x{FF5A}]"
+#: Lines that are an item, a row of cells or a menu whatever stands around them: what such a line holds, its pattern.
+_ITEMS = (
+    ((), r"\A\s*(?:[-*•–—→‣▪+]\s|\(?(?:\d{1,3}|[a-z])[.)]\s|\[[ xX]\]|\|)"),
+    (("\t",), r"\t[^\t]*\t"),
+    (("  ",), r"\S {2,}\S+ {2,}\S"),
+    ((" ; ", " | ", " › ", " · ", " / "), r" [;|›·/] [^;|›·/]* [;|›·/] "),
+    ((",",), r"\A(?:[^\s,]*,){2,}[^\s,]*\z"),
+)
+
+
+def _is_item(line: Column) -> Column:
+    found = F.lit(False)
+    for signs, pattern in _ITEMS:
+        there = F.regexp_like(line, F.lit(pattern))
+        if signs:
+            there = reduce(Column.__or__, [F.contains(line, F.lit(sign)) for sign in signs]) & there
+        found = found | there
+    return found
+
+
+def _is_common(word: Column) -> Column:
+    """A common word, also one in which letters of another script stand among Latin ones."""
+    mixed = (F.octet_length(word) > F.length(word)) & F.regexp_like(word, F.lit("[a-z]"))
+    return word.isin(_COMMON) | (mixed & F.translate(word, lookalike._LETTERS, lookalike._LATIN).isin(_COMMON))
+
+
+def _chars(text: Column) -> Column:
+    """Characters that aren't blank; spaces of other widths are evened out before."""
+    return F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def _seen(block: Column) -> Column:
+    """What is counted in a block."""
+    ascii_ = F.octet_length(block) == F.length(block)
+    rare = lambda pattern: F.when(ascii_, 0).otherwise(F.length(block) - F.length(F.regexp_replace(block, pattern, "")))
+    words = F.regexp_extract_all(F.lower(block), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    return F.struct(
+        _chars(block).alias("size"),
+        F.regexp_count(block, F.lit(_ENDS)).alias("ends"),
+        rare(r"[\x{0E00}-\x{0EFF}]+").alias("thai"),
+        rare(_UNSPACED).alias("unspaced"),
+        rare(r"[、，]+").alias("commas"),
+        words.alias("words"),
+    )
 
 
 def measured(df: DataFrame, text_column: str) -> DataFrame:
     """The rows with their measures added; each is a share but for mean_word."""
     columns = df.columns
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
-    chars = lambda x: F.length(F.regexp_replace(x, r"[\s\p{Z}]+", ""))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + chars(x))
+    total = lambda xs, of: F.aggregate(xs, F.lit(0), lambda a, x: a + of(x))
     # characters that only look different are no sign of quality: widths and invisible ones are evened out first
-    even = F.translate(F.coalesce(F.col(text_column).cast("string"), F.lit("")), _WIDE_LETTERS + lookalike._SPACES, _LETTERS + " " * len(lookalike._SPACES))
-    df = df.withColumn("__plain", plain(F.regexp_replace(even, lookalike.INVISIBLE, "")))
-    df = df.withColumn("__lines", F.filter(F.split("__plain", r"\n", -1), lambda x: ~F.regexp_like(x, F.lit(_ITEM))))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    even = F.regexp_replace(F.translate(text, _WIDE_LETTERS + lookalike._SPACES, _LETTERS + " " * len(lookalike._SPACES)), lookalike.INVISIBLE, "")
+    even = F.when((F.octet_length(text) > F.length(text)) & F.regexp_like(text, F.lit(_UNEVEN)), even).otherwise(text)
+    df = with_plain(df, even, "__plain")
+    df = df.withColumn("__lines", F.filter(F.split("__plain", r"\n", -1), lambda x: ~_is_item(x)))
     df = df.withColumn("__blocks", F.filter(F.split(F.array_join("__lines", "\n"), r"\n\s*\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))))
-    df = df.withColumn("__words", F.regexp_extract_all(F.lower("__plain"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
-
-    is_common = lambda w: w.isin(_COMMON) | F.translate(w, lookalike._LETTERS, lookalike._LATIN).isin(_COMMON)
-
-    def reads(block: Column) -> Column:
-        ends = F.size(F.regexp_extract_all(block, F.lit(_ENDS), F.lit(0)))
-        size = chars(block)
-        thai = F.length(F.regexp_replace(block, r"[^\x{0E00}-\x{0EFF}]+", ""))
-        words = F.size(F.regexp_extract_all(block, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
-        unspaced = F.length(F.regexp_replace(block, "[^" + _UNSPACED[1:], ""))
-        long_enough = (words >= 2) | (unspaced >= 5)
+    df = df.withColumn("__blocks", F.transform("__blocks", _seen))
+    # the words stay a column of their own, so that each is looked up once
+    df = df.withColumn("__known", F.transform("__blocks", lambda b: F.size(F.filter(b["words"], _is_common))))
+    df = df.withColumn("__chars", _chars(F.col("__plain"))).withColumn("__tokens", F.filter(F.split("__plain", r"\s+"), lambda x: F.length(x) > 2))
+
+    def reads(b: Column, known: Column) -> Column:
+        words = F.size(b["words"])
+        long_enough = (words >= 2) | (b["unspaced"] >= 5)
         # sentences whose marks were lost, as in a loop of one phrase
-        known = F.size(F.filter(F.regexp_extract_all(F.lower(block), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), is_common))
-        commas = F.length(F.regexp_replace(block, r"[^、，]+", ""))
-        loose = ((words >= 12) & (known >= 0.25 * words)) | ((unspaced > 40) & (commas * 40 >= unspaced))
-        return ((ends > 0) & (size <= 240 * ends) & long_enough) | (thai * 2 > size) | loose
-
-    n = chars(F.col("__plain"))
-    blank = F.regexp_like(F.col("__plain"), F.lit(r"\S"))
-    unspaced = F.length(F.regexp_replace("__plain", "[^" + _UNSPACED[1:], ""))
-    signs = F.length(F.regexp_replace("__plain", r"[^のをがにはでともたしれ的了是在有和不这那还之就은는이가을를에다로고하지의ทนกงมไใเจึ]+", ""))
-    df = df.withColumn("__said", F.filter(F.split("__plain", r"\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))))
-    df = df.withColumn("__tokens", F.filter(F.split("__plain", r"[\s\p{Z}]+"), lambda x: F.length(x) > 2))
-    lines, tokens = F.col("__said"), F.col("__tokens")
-    odd = F.filter(tokens, lambda x: F.regexp_like(x, F.lit(r"\p{Ll}[\d;|?!@%^:]+\p{Ll}|^[;|^%@]|[\d^%@;|][^\s\p{L}]*\p{L}.*[\d^%@;|]")))
+        loose = ((words >= 12) & (known >= 0.25 * words)) | ((b["unspaced"] > 40) & (b["commas"] * 40 >= b["unspaced"]))
+        return ((b["ends"] > 0) & (b["size"] <= 240 * b["ends"]) & long_enough) | (b["thai"] * 2 > b["size"]) | loose
+
+    prose = F.zip_with("__blocks", "__known", lambda b, known: F.when(reads(b, known), b["size"]).otherwise(0))
+    df = df.withColumn("__prose", total(prose, lambda x: x)).withColumn("__unspaced", total("__blocks", lambda b: b["unspaced"]))
+    df = df.withColumn("__n_words", total("__blocks", lambda b: F.size(b["words"])))
+    df = df.withColumn("__letters", total("__blocks", lambda b: total(b["words"], F.length)))
+    plain, n = F.col("__plain"), F.col("__chars")
+    signs = F.length(F.regexp_replace(plain, r"[^のをがにはでともたしれ的了是在有和不这那还之就은는이가을를에다로고하지의ทนกงมไใเจึ]+", ""))
+    odd = F.filter("__tokens", lambda x: F.regexp_like(x, F.lit(r"[\d;|?!@%^:]")) & F.regexp_like(x, F.lit(r"\p{Ll}[\d;|?!@%^:]+\p{Ll}|\A[;|^%@]|[\d^%@;|][^\p{L}]*\p{L}.*[\d^%@;|]")))
+    garbled = F.when(F.octet_length(plain) == F.length(plain), 0).otherwise(F.regexp_count(plain, F.lit(_GARBLED)))
+    said = F.size(F.filter(F.split("__plain", r"\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))))
     row = F.struct(
-        share(total(F.filter("__blocks", reads)), n).alias("prose"),
-        F.when(unspaced * 4 > n, share(signs, unspaced)).otherwise(share(F.size(F.filter("__words", is_common)), F.size("__words"))).alias("common"),
-        share(F.length(F.regexp_replace("__plain", r"[^\p{L}\p{M}]+", "")), n).alias("letters"),
-        share(F.size(odd), F.size(tokens)).alias("mixed"),
-        share(2 * F.size(F.regexp_extract_all("__plain", F.lit(_GARBLED), F.lit(0))), n).alias("garbled"),
-        share(F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit("(?:" + _ENDS + r")[\"'”’»)\]」』）]*\s*\z")))), F.size(lines)).alias("ended_lines"),
-        share(F.aggregate("__words", F.lit(0), lambda a, w: a + F.length(w)), F.size("__words")).alias("mean_word"),
-        share(F.length(F.regexp_replace("__plain", r"[^0-9]+", "")), n).alias("digits"),
-        F.size("__words").alias("n_words"),
+        share(F.col("__prose"), n).alias("prose"),
+        F.when(F.col("__unspaced") * 4 > n, share(signs, F.col("__unspaced"))).otherwise(share(total("__known", lambda x: x), F.col("__n_words"))).alias("common"),
+        share(F.col("__letters"), n).alias("letters"),
+        share(F.size(odd), F.size("__tokens")).alias("mixed"),
+        share(2 * garbled, n).alias("garbled"),
+        share(F.regexp_count(plain, F.lit(_CLOSED)), said).alias("ended_lines"),
+        share(F.col("__letters"), F.col("__n_words")).alias("mean_word"),
+        share(F.length(plain) - F.length(F.regexp_replace(plain, "[0-9]+", "")), n).alias("digits"),
+        F.col("__n_words").alias("n_words"),
         n.alias("n_chars_seen"),
     )
-    # a filter on the measures doesn't pass inline, so the chain is evaluated once
-    return df.filter(blank).select(*columns, F.inline(F.array(row)))
+    # blank texts are left out here, as a filter would be pushed down and hold the whole chain once for each mention
+    return df.select(*columns, F.inline(F.filter(F.array(row), lambda r: r["n_chars_seen"] > 0)))
 
 
 _WORD = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0963\u0970-\u097f])+")
@@ -205,21 +251,39 @@ def rules_sql(rules: Iterable[Rule], names: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN true" for c in cases) + " ELSE false END" if cases else "false"
 
 
-def rule_list(df: DataFrame, text_column: str, sample: int = SAMPLE) -> str:
-    """Learn the rule list from a bounded sample of the rows, chosen by a hash of the text."""
-    texts = df.select(F.col(text_column).cast("string").alias("__text")).filter(F.regexp_like("__text", F.lit(r"\S")))
+def _labelled(rows: DataFrame) -> DataFrame:
+    """The closer reading of each row's ``__text`` beside it, in tasks; the texts themselves don't leave them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([is_junk(t) for t in texts], pa.bool_())], names=["__text", "__junk"])
+
+    return rows.select("__text").mapInArrow(run, "__text string, __junk boolean")
+
+
+def rule_list(df: DataFrame, text_column: str, sample: int = SAMPLE, label_column: str | None = None) -> str:
+    """Learn the rule list from a bounded sample of the rows, chosen and ordered by a hash of the text.
+
+    Labels are those of ``label_column`` where there is one, else those of the closer reading.  Only the measures
+    and the labels of the sample come to the driver, and in an order that doesn't depend on files or tasks.
+    """
+    text = F.col(text_column).cast("string").alias("__text")
+    texts = df.select(text) if label_column is None else df.select(text, F.col(label_column).cast("boolean").alias("__junk")).filter("__junk is not null")
+    texts = texts.filter(F.regexp_like("__text", F.lit(r"\S"))).withColumn("__at", F.xxhash64("__text"))
     cut = int(min(1.0, sample / max(1, texts.count())) * (1 << 30))
-    chosen = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < cut).limit(2 * sample)
-    rows = measured(chosen, "__text").toPandas()
+    chosen = texts.filter(F.pmod("__at", F.lit(1 << 30)) < cut).distinct().orderBy("__at", "__text").limit(2 * sample).repartition(32)
+    rows = _labelled(chosen) if label_column is None else chosen
+    rows = measured(rows, "__text").select(*MEASURES, "__junk", F.xxhash64("__text").alias("__at")).toPandas().sort_values(["__at", *MEASURES])
+    y = rows["__junk"].to_numpy(dtype=bool)
     if not len(rows):
         return "false"
-    y = np.array([is_junk(t) for t in rows["__text"]])
     if not 0 < y.sum() < len(y):
         return "prose <= 0.5D"
     return rules_sql(learn(rows[MEASURES].to_numpy(dtype=float), y), MEASURES)
 
 
-def found(df: DataFrame, id_column: str, text_column: str, sample: int = SAMPLE) -> DataFrame:
-    case = rule_list(df, text_column, sample)
+def found(df: DataFrame, id_column: str, text_column: str, sample: int = SAMPLE, label_column: str | None = None) -> DataFrame:
+    case = rule_list(df, text_column, sample, label_column)
     rows = df.select(id_column, F.col(text_column).cast("string").alias("__text"))
     return measured(rows, "__text").filter(F.expr(case)).select(id_column).distinct()

@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import COMMON_WORDS
-from .plain import plain
+from .plain import with_plain
 from .sentences import _BEFORE_NUMBER, _INNER, _TITLES, _any
 
 RUN, LETTERS = 5, 12
+MEASURES = ("repeated_share", "again_share", "repeated_line_share", "repeated_sentence_share", "symbol_share", "common_share", "mean_line")
 #: Scripts without spaces between words: kana, Han, Thai, Lao, Khmer, Myanmar.
-_UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+_UNSPACED = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
+#: Most characters of most texts, none of which is a break: looked at first.
+_USUAL = r"(?![a-zA-Z0-9 ,\x{00C0}-\x{052F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}])"
 #: Signs for places that no phrase crosses: inside a sentence (cells, semicolons), at its end or before a list item,
 #: and between paragraphs.
 _CUT, _STOP, _GAP = _BREAK = "\ue000\ue001\ue002"
@@ -29,14 +32,14 @@ _UNITS = r"[\p{L}\p{M}]+|[\x{E000}-\x{E002}]"
 _AFTER = r"+(?=[\s\p{Z}]|\z|[^\p{L}\p{N}])"
 #: Dots of abbreviations, which cut nothing.
 _ABBREVIATED = (
-    r"\.(?<=(?<![\p{L}\p{N}])" + _any(_TITLES) + r"\.)"
+    r"(?=\.)(?:\.(?<=(?<![\p{L}\p{N}])" + _any(_TITLES) + r"\.)"
     r"|(?i:\.(?<=(?<![\p{L}\p{N}])" + _any(_INNER) + r"\.))"
-    r"|(?i:\.(?=[\s\p{Z}]*\d)(?<=(?<![\p{L}\p{N}])" + _any(_BEFORE_NUMBER) + r"\.))"
+    r"|(?i:\.(?=[\s\p{Z}]*\d)(?<=(?<![\p{L}\p{N}])" + _any(_BEFORE_NUMBER) + r"\.)))"
 )
 _BREAKS = (
     (r"\n(?=\s*\n)", _GAP),
-    (r"[.!?…。！？｡؟।።]" + _AFTER + r"|[。！？｡]|\n(?=\s*(?:[-*•–—→>]|\(?\w{1,3}[.)]\s|#))", _STOP),
-    (r"[;；|•·›→]" + _AFTER, _CUT),
+    (_USUAL + r"(?:[.!?…。！？｡؟।።]" + _AFTER + r"|[。！？｡]|\n(?=\s*(?:[-*•–—→>]|\(?\w{1,3}[.)]\s|#)))", _STOP),
+    (_USUAL + r"[;；|•·›→]" + _AFTER, _CUT),
 )
 
 #: The threshold table: measure, comparison, bound.  A document is repetitive if any row holds.
@@ -47,57 +50,70 @@ def _letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
 
 
-def _is_unspaced(text: Column) -> Column:
-    letters = _letters(text)
-    return F.length(F.regexp_replace(letters, "[^" + _UNSPACED[1:], "")) * 2 > F.length(letters)
+def _is_unspaced(letters: Column) -> Column:
+    """Whether most letters belong to a script without spaces; letters of ASCII are told by their bytes."""
+    other = F.regexp_replace(letters, r"[\x00-\x7F]+", "")
+    unspaced = F.length(other) - F.length(F.regexp_replace(other, _UNSPACED + "+", ""))
+    return F.when(F.octet_length(letters) == F.length(letters), False).otherwise(unspaced * 2 > F.length(letters))
 
 
-def _units(text: Column, unspaced: Column) -> Column:
-    cut = F.lower(F.regexp_replace(F.translate(text, _BREAK, "   "), _ABBREVIATED, " "))
+def _with_units(df: DataFrame, text: str, unspaced: str, name: str, said: str) -> DataFrame:
+    """The units of a text and the signs of its breaks, in order; and as one string, its letters and those signs."""
+    t = F.col(text)
+    df = df.withColumn(name, F.when(F.regexp_like(t, F.lit(f"[{_CUT}-{_GAP}]")), F.translate(t, _BREAK, "   ")).otherwise(t))
+    cut = F.lower(F.regexp_replace(name, _ABBREVIATED, " "))
     for pattern, sign in _BREAKS:
         cut = F.regexp_replace(cut, pattern, f" {sign} ")
-    single = F.split(F.regexp_replace(cut, r"[^\p{L}\p{M}\x{E000}-\x{E002}]+", ""), "")
-    return F.when(unspaced, single).otherwise(F.regexp_extract_all(cut, F.lit(_UNITS), F.lit(0)))
+    df = df.withColumn(name, cut).withColumn(said, F.regexp_replace(name, r"[^\p{L}\p{M}\x{E000}-\x{E002}]+", ""))
+    units = F.when(F.col(unspaced), F.filter(F.split(said, ""), lambda u: u != "")).otherwise(F.regexp_extract_all(name, F.lit(_UNITS), F.lit(0)))
+    return df.withColumn(name, units)
 
 
-def measured(df: DataFrame, text_column: str) -> DataFrame:
-    """The rows with the measures of their texts added; what they are built on stays inside the projection.
+def measured(df: DataFrame, text_column: str, names: tuple[str, ...] = MEASURES) -> DataFrame:
+    """The rows with the named measures of their texts added; what they are built on stays inside the projection.
 
     The measures leave through ``inline``, which a filter on them doesn't pass: pushed below it, the filter would
-    hold the whole chain of expressions once for each mention.
+    hold the whole chain of expressions once for each mention.  Places are looked for only in texts in which two
+    runs, sentences or paragraphs are alike.
     """
     t, columns = "__plain", df.columns
     signs = str(tuple(_BREAK))
-    df = df.withColumn(t, plain(F.coalesce(F.col(text_column), F.lit(""))))
-    df = df.withColumn("__unspaced", _is_unspaced(F.col(t)))
-    df = df.withColumn("__units", F.filter(_units(F.col(t), F.col("__unspaced")), lambda u: u != ""))
+    df = with_plain(df, F.coalesce(F.col(text_column), F.lit("")), t)
+    df = df.withColumn("__bare", F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")).withColumn("__letters", F.length("__bare").cast("bigint"))
+    df = df.withColumn("__unspaced", _is_unspaced(F.col("__bare")))
+    df = _with_units(df, t, "__unspaced", "__units", "__marks")
     df = df.withColumn("__run", F.when(F.col("__unspaced"), LETTERS).otherwise(RUN))
+    # a break's hash is its place, so a run over one is like no other run
+    df = df.withColumn("__hashes", F.expr(f"transform(__units, (u, i) -> IF(u IN {signs}, bigint(i), xxhash64(u)))"))
+    hashed = lambda array, places: "xxhash64(" + ", ".join(f"{array}[i + {k}]" for k in places) + ")"
+    thirds = f"transform(sequence(0, size(__units) - {LETTERS // 4}), i -> {hashed('__hashes', range(LETTERS // 4))})"
+    df = df.withColumn("__thirds", F.expr(f"CASE WHEN __unspaced AND size(__units) >= {LETTERS} THEN {thirds} ELSE array() END"))
+    letters = f"transform(sequence(0, size(__units) - {LETTERS}), i -> {hashed('__thirds', range(0, LETTERS, LETTERS // 4))})"
+    words = f"transform(sequence(0, size(__units) - {RUN}), i -> {hashed('__hashes', range(RUN))})"
+    df = df.withColumn("__run_hashes", F.expr(f"CASE WHEN size(__units) < __run THEN array() WHEN __unspaced THEN {letters} ELSE {words} END"))
+    df = df.withColumn("__alike", F.size("__run_hashes") > F.size(F.array_distinct("__run_hashes")))
+    # sentences, and paragraphs of several of them: their letters without the breaks in them
+    df = df.withColumn("__marks", F.replace("__marks", F.lit(_CUT), F.lit("")))
+    df = df.withColumn("__saids", F.filter(F.split("__marks", f"[{_STOP}{_GAP}]"), lambda x: x != ""))
+    several = F.filter(F.split("__marks", _GAP), lambda x: F.regexp_like(x, F.lit(f"[^{_STOP}]{_STOP}+[^{_STOP}]")))
+    df = df.withColumn("__saids", F.concat("__saids", F.transform(several, lambda x: F.replace(x, F.lit(_STOP), F.lit("")))))
+    df = df.withColumn("__saids", F.transform("__saids", lambda x: F.xxhash64(x)))
+    df = df.withColumn("__said_alike", F.size("__saids") > F.size(F.array_distinct("__saids")))
+    df = df.withColumn("__sizes", F.expr(f"CASE WHEN __alike OR __said_alike THEN transform(__units, u -> IF(u IN {signs}, 0, length(u))) ELSE array() END"))
     # every run of units with its place, in order: all but the first of equal runs stood earlier
-    df = df.withColumn("__sizes", F.expr(f"transform(__units, u -> IF(u IN {signs}, 0, length(u)))"))
-    # a unit's hash is null at a break, and so is that of every run over it; a run of next to no letters has none
-    df = df.withColumn("__hashes", F.expr(f"transform(__units, u -> IF(u IN {signs}, NULL, xxhash64(u)))"))
-    run_hash = lambda n: " ^ ".join(f"shiftleft(__hashes[i + {k - 1}], {3 * k})" for k in range(n))
-    letters_of = " + ".join(f"__sizes[i + {k - 1}]" for k in range(RUN))
-    df = df.withColumn(
-        "__runs",
-        F.expr(
-            "CASE WHEN size(__units) >= __run THEN sort_array(transform(sequence(1, size(__units) - __run + 1), "
-            f"i -> named_struct('h', IF(__run = {RUN}, IF({letters_of} < {2 * RUN}, NULL, {run_hash(RUN)}), {run_hash(LETTERS)}), 'i', i))) ELSE array() END"
-        ),
-    )
-    df = df.withColumn("__again", F.expr("CASE WHEN size(__runs) > 1 THEN array_sort(filter(transform(sequence(2, size(__runs)), j -> IF(__runs[j - 1].h = __runs[j - 2].h, __runs[j - 1].i, NULL)), x -> x IS NOT NULL)) ELSE array() END"))
+    df = df.withColumn("__runs", F.expr("CASE WHEN __alike THEN sort_array(transform(__run_hashes, (h, k) -> named_struct('h', h, 'i', k + 1))) ELSE array() END"))
+    df = df.withColumn("__again", F.expr("CASE WHEN __alike THEN array_sort(filter(transform(sequence(2, size(__runs)), j -> IF(__runs[j - 1].h = __runs[j - 2].h, __runs[j - 1].i, NULL)), x -> x IS NOT NULL)) ELSE array() END"))
     covered = """aggregate(transform(__again, (p, k) -> aggregate(
         sequence(IF(k = 0, p, greatest(p, __again[k - 1] + __run)), p + __run - 1),
         0L, (a, q) -> a + __sizes[q - 1])), 0L, (a, x) -> a + x)"""
-    letters = F.expr("aggregate(__sizes, 0L, (a, x) -> a + x)")
-    df = df.withColumn("__letters", letters).withColumn("__repeated", F.expr(covered))
+    df = df.withColumn("__repeated", F.expr(covered))
     # sentences and paragraphs with their places; one is said again if its letters stood whole before it began
     for name, ends in (("__sentences", (_STOP, _GAP)), ("__paragraphs", (_GAP,))):
         at = f"filter(sequence(0, size(__units) + 1), i -> i = 0 OR i > size(__units) OR __units[i - 1] IN ({', '.join(map(repr, ends))}))"
-        df = df.withColumn(f"{name}_at", F.expr(at))
-        said = f"translate(array_join(slice(__units, {name}_at[k - 1] + 1, {name}_at[k] - {name}_at[k - 1] - 1), ''), '{_BREAK}', '')"
+        df = df.withColumn(f"{name}_at", F.expr(f"CASE WHEN __said_alike THEN {at} ELSE array() END"))
+        said = f"array_join(filter(slice(__units, {name}_at[k - 1] + 1, {name}_at[k] - {name}_at[k - 1] - 1), u -> u NOT IN {signs}), '')"
         parts = f"filter(transform(sequence(1, size({name}_at) - 1), k -> named_struct('said', {said}, 'i', {name}_at[k - 1] + 1, 'e', {name}_at[k] - 1)), x -> x.said <> '')"
-        df = df.withColumn(name, F.expr(f"transform({parts}, x -> named_struct('h', xxhash64(x.said), 'i', x.i, 'e', x.e))"))
+        df = df.withColumn(name, F.expr(f"CASE WHEN __said_alike THEN transform({parts}, x -> named_struct('h', xxhash64(x.said), 'i', x.i, 'e', x.e)) ELSE array() END"))
     df = df.withColumn("__parts", F.expr("sort_array(concat(__sentences, __paragraphs))"))
     df = df.withColumn("__parts_again", F.expr("CASE WHEN size(__parts) > 1 THEN filter(transform(sequence(2, size(__parts)), j -> IF(__parts[j - 1].h = __parts[j - 2].h AND __parts[j - 2].e < __parts[j - 1].i, named_struct('i', __parts[j - 1].i, 'e', __parts[j - 1].e), NULL)), x -> x IS NOT NULL) ELSE array() END"))
     # the union of phrases, sentences and paragraphs, from left to right
@@ -108,8 +124,10 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
         a -> a.n)"""
     df = df.withColumn("__said_again", F.expr(f"IF(size(__parts_again) = 0, __repeated, {union})"))
     # as columns of their own, each is cut once and not once for each mention
-    df = df.withColumn("__lines", F.filter(F.transform(F.split(F.col(t), "\n"), _letters), lambda x: x != ""))
-    df = df.withColumn("__said", F.filter(F.transform(F.split(F.col(t), r"[.!?…。！？｡؟।።]+|\n\s*\n"), _letters), lambda x: x != ""))
+    if "repeated_line_share" in names:
+        df = df.withColumn("__lines", F.filter(F.transform(F.split(F.col(t), "\n"), _letters), lambda x: x != ""))
+    if "repeated_sentence_share" in names:
+        df = df.withColumn("__said", F.filter(F.transform(F.split(F.col(t), r"[.!?…。！？｡؟।።]+|\n\s*\n"), _letters), lambda x: x != ""))
     lines, sentences = F.col("__lines"), F.col("__said")
     share = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
     chars = F.length(F.regexp_replace(F.col(t), r"\s+", ""))
@@ -123,7 +141,7 @@ def measured(df: DataFrame, text_column: str) -> DataFrame:
         "common_share": share(F.size(F.filter("__units", lambda u: u.isin(common))), F.size(F.filter("__units", lambda u: ~u.isin(*_BREAK)))),
         "mean_line": share(F.length(t), F.size(F.split(F.col(t), r"\n"))),
     }
-    row = F.struct(F.col("__letters").alias("letters"), *(m.alias(name) for name, m in measures.items()))
+    row = F.struct(F.col("__letters").alias("letters"), *(measures[name].alias(name) for name in names))
     return df.select(*columns, F.inline(F.array(row)))
 
 
@@ -134,16 +152,17 @@ def compiled(thresholds=THRESHOLDS) -> Column:
 
 def repetitive(df: DataFrame, id_column: str, text_column: str, thresholds=THRESHOLDS) -> DataFrame:
     rows = df.select(F.col(id_column).alias("row_id"), F.col(text_column).cast("string").alias("__text"))
-    return measured(rows, "__text").filter(compiled(thresholds)).select("row_id").distinct()
+    needed = tuple(dict.fromkeys(name for name, _, _ in thresholds))
+    return measured(rows, "__text", needed).filter(compiled(thresholds)).select("row_id").distinct()
 
 
 def same_lines(findings: DataFrame, documents: DataFrame) -> DataFrame:
     """(row_id) of findings at least half of whose other related lines say the same as their own line.
 
-    Documents go into the join as digests of their lines, in order; a line without letter or digit has none.
+    Documents go into the join as 64-bit hashes of their lines, in order; a line without letter or digit has none.
     """
     said = lambda line: F.lower(F.regexp_replace(line, r"[^\p{L}\p{M}\p{N}]+", ""))
-    lines = F.transform(F.split("text", r"\n"), lambda x: F.when(said(x) != "", F.md5(said(x))))
+    lines = F.transform(F.split("text", r"\n"), lambda x: F.when(said(x) != "", F.xxhash64(said(x))))
     texts = documents.filter("text is not null and corpus_id is not null").select("corpus_id", lines.alias("lines")).dropDuplicates(["corpus_id"])
     asked = findings.filter("related_lines is not null").select("finding_id", "corpus_id", "line", "related_lines").distinct()
     both = asked.join(texts, "corpus_id")
