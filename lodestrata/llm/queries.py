@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import leakage, lookalike, markup, quality, repetition, sentences, stuffing, tokenizer
 
 
+#: Rows named in a sample up to which their names are broadcast; about 60 MB.
+MOST_NAMED = 1_000_000
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,13 +64,16 @@ def _corpus_and_lines(spark: SparkSession, sf_dir: str, line_text: str) -> DataF
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of the rows that split_sample names."""
     named = _read(spark, sf_dir, "split_sample").select("src_table", "row_id").distinct()
+    # sent to every task while it is small; beyond that both sides are shuffled
+    named = F.broadcast(named) if named.count() <= MOST_NAMED else named.hint("merge")
     rows = _corpus_and_lines(spark, sf_dir, "raw_text").join(named, ["src_table", "row_id"], "left_semi")
-    return sentences.spans(rows, ["src_table", "row_id"], "text").distinct()
+    return sentences.spans(rows, ["src_table", "row_id"], "text")
 
 
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of every document and line."""
-    return sentences.sentences(_corpus_and_lines(spark, sf_dir, "raw_text"), ["src_table", "row_id"], "text")
+    """The sentences of every document and line; a row delivered twice counts once."""
+    rows = _corpus_and_lines(spark, sf_dir, "raw_text").dropDuplicates(["src_table", "row_id"])
+    return sentences.sentences(rows, ["src_table", "row_id"], "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HELD, END = "", ""
@@ -132,30 +132,42 @@ def marked(t: Column) -> Column:
     return F.regexp_replace(t, r"(?= )(?:(?<=[\x{0E00}-\x{0E7F}])|(?<=[^ \x{E001}])(?= +[\x{0E00}-\x{0E7F}]))", END)
 
 
-def spans(df: DataFrame, keys: list[str], text_column: str) -> DataFrame:
-    """(keys, start_pos, end_pos, sentence) of each sentence of each row.
+_BLOCK = 256
+
+
+def _sums(sizes: str, first: str) -> str:
+    """Running sums of an array, beginning with ``first``: where each piece begins."""
+    return f"slice(aggregate({sizes}, array({first}), (a, x) -> array_append(a, element_at(a, -1) + x)), 1, size({sizes}))"
+
 
-    The pieces of a text take one window over its own pieces to become offsets; only lengths go through it, the
-    text is cut before.
+def _cut(df: DataFrame, keys: list[str], text_column: str, with_text: bool) -> DataFrame:
+    """One row for each piece of a text: its keys, its place and what is blank around it; with its text if asked.
+
+    Everything is worked out in the text's own row, without a shuffle of texts or pieces.  Pieces are counted in
+    blocks, so that neither the sums nor the cutting of a very long text grows with the square of its length.
     """
-    rows = df.select(*keys, F.col(text_column).cast("string").alias("__text")).filter(F.regexp_like("__text", F.lit(r"[^\s\p{Z}]"))).distinct()
+    rows = df.select(*keys, F.col(text_column).cast("string").alias("__text")).filter(F.regexp_like("__text", F.lit(r"[^\s\p{Z}]")))
     rows = masked(rows, F.col("__text"), "__masked")
-    pieces = rows.select(*keys, F.xxhash64("__text").alias("__row"), F.posexplode(F.split(marked(F.col("__masked")), END, -1)).alias("__n", "__piece"))
-    before = F.length(F.regexp_extract("__piece", r"\A[\s\p{Z}]*", 0))
-    after = F.length(F.regexp_extract("__piece", r"[\s\p{Z}]*\z", 0))
-    pieces = pieces.select(*keys, "__row", "__n", F.length("__piece").alias("__size"), before.alias("__before"), after.alias("__after"))
-    so_far = Window.partitionBy(*keys, "__row").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("__size").over(so_far), F.lit(0))
-    pieces = pieces.withColumn("__start", start).filter(F.col("__before") < F.col("__size"))
-    return pieces.select(
-        *keys,
-        (F.col("__start") + F.col("__before")).cast("bigint").alias("start_pos"),
-        (F.col("__start") + F.col("__size") - F.col("__after")).cast("bigint").alias("end_pos"),
-    )
+    rows = rows.withColumn("__pieces", F.split(marked(F.col("__masked")), END, -1))
+    measured = F.transform("__pieces", lambda x: F.struct(F.length(x).cast("bigint").alias("size"), F.length(F.regexp_extract(x, r"\A[\s\p{Z}]*", 0)).alias("before"), F.length(F.regexp_extract(x, r"[\s\p{Z}]*\z", 0)).alias("after")))
+    rows = rows.withColumn("__pieces", measured)
+    blocks = f"transform(sequence(1, size(__pieces), {_BLOCK}), k -> slice(__pieces, k, {_BLOCK}))"
+    rows = rows.withColumn("__blocks", F.expr(blocks))
+    sizes = "transform(__blocks, b -> aggregate(b, 0L, (a, x) -> a + x.size))"
+    rows = rows.withColumn("__sizes", F.expr(sizes)).withColumn("__starts", F.expr(_sums("__sizes", "0L")))
+    block = "transform(__blocks, (b, k) -> named_struct('pieces', b, 'start', __starts[k]" + (", 'text', substring(__text, int(__starts[k]) + 1, int(__sizes[k]))" if with_text else "") + "))"
+    rows = rows.select(*keys, F.explode(F.expr(block)).alias("__block")).select(*keys, "__block.*")
+    rows = rows.withColumn("starts", F.expr(_sums("transform(pieces, x -> x.size)", "0L")))
+    said = ", 'sentence', substring(text, int(starts[k]) + x.before + 1, int(x.size) - x.before - x.after)" if with_text else ""
+    spans = f"transform(pieces, (x, k) -> named_struct('start_pos', start + starts[k] + x.before, 'end_pos', start + starts[k] + x.size - x.after{said}))"
+    return rows.select(*keys, F.inline(F.expr(f"filter({spans}, x -> x.end_pos > x.start_pos)")))
+
+
+def spans(df: DataFrame, keys: list[str], text_column: str) -> DataFrame:
+    """(keys, start_pos, end_pos) of each sentence of each row, once."""
+    return _cut(df, keys, text_column, False).distinct()
 
 
 def sentences(df: DataFrame, keys: list[str], text_column: str) -> DataFrame:
-    """The sentences themselves beside their offsets, cut from the text as it stands."""
-    found = spans(df, keys, text_column)
-    texts = df.select(*keys, F.col(text_column).alias("__text")).distinct()
-    return found.join(texts, keys).select(*keys, "start_pos", "end_pos", F.expr("substring(__text, int(start_pos) + 1, int(end_pos - start_pos))").alias("sentence")).distinct()
+    """The sentences themselves beside their offsets, cut from the text as it stands; a row that came again gives them again."""
+    return _cut(df, keys, text_column, True)
