@@ -7,8 +7,9 @@ are sorted, the Burrows-Wheeler transform is kept as a wavelet matrix with ranks
 consecutive words of all passages are searched backwards side by side; occurrences are found by stepping back to
 sampled suffix positions; those that overlap or touch merge into removal spans.
 
-Nothing is shuffled but the spans found.  The test set is the stated query set: it is sent to the tasks in blocks
-of bounded size, each block one pass over the corpus.
+Nothing is shuffled but the spans found.  The test set is the stated query set: its phrases are broadcast in
+blocks of bounded size, and every block is searched in the one index of a shard, so the corpus is read, decoded
+and indexed once however many blocks there are.  Spans that meet where a long text was cut are merged at the end.
 
 Defined cases: null, empty and unreadable mails give no row; passages with fewer than ``n_words`` words match
 nothing; repeated items or documents give their rows once; a text longer than a shard is cut into shards that
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +42,18 @@ def words(text: str) -> list[str]:
 
 
 class Phrases:
-    """All runs of ``n_words`` words of the items' passages, as rows of symbols."""
+    """All runs of ``n_words`` words of some items' passages, as rows of symbols of one alphabet."""
 
-    def __init__(self, items: list[tuple[int, str]], n_words: int):
-        self.n_words = n_words
-        self.alphabet: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, str]], n_words: int, alphabet: dict[str, int]):
         owner: list[int] = []
         rows: list[list[int]] = []
         for item, passage in items:
-            symbols = [self.alphabet.setdefault(w, len(self.alphabet) + 2) for w in words(passage or "")]
+            symbols = [alphabet.setdefault(w, len(alphabet) + 2) for w in words(passage or "")]
             for k in range(len(symbols) - n_words + 1):
                 rows.append(symbols[k : k + n_words])
                 owner.append(item)
-        self.size = len(self.alphabet) + 2
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, n_words)
-        self.owner = owner
+        self.rows = np.array(rows, dtype=np.int32).reshape(-1, n_words)
+        self.owner = np.array(owner, dtype=np.int64)
 
 
 class FmIndex:
@@ -151,51 +149,51 @@ class FmIndex:
 class Shard:
     """Gathers the words of documents and finds the phrases in them."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases = phrases
+    def __init__(self, alphabet: dict[str, int], n_words: int):
+        self.alphabet, self.n_words = alphabet, n_words
         self.symbols: list[int] = []
         self.keys: list = []
         self.starts: list[int] = []
         self.offsets: list[int] = []
 
     def add(self, key, document: list[str], offset: int) -> None:
-        get = self.phrases.alphabet.get
+        get = self.alphabet.get
         self.keys.append(key)
         self.starts.append(len(self.symbols))
         self.offsets.append(offset)
         self.symbols.extend([get(w, _OTHER) for w in document])
         self.symbols.append(_OTHER)
 
-    def find(self) -> Iterator[tuple]:
+    def find(self, blocks: Iterable[Phrases]) -> Iterator[tuple]:
         """(key, item, first word, word after the last), each span as long as it gets."""
-        n_words = self.phrases.n_words
+        n_words = self.n_words
         symbols = np.array(self.symbols, dtype=np.int64)
         inside = np.concatenate([[False], symbols != _OTHER, [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edge[::2], edge[1::2]
         fits = end - begin >= n_words
         begin, end = begin[fits], end[fits]
-        if not len(begin) or not len(self.phrases.rows):
+        if not len(begin):
             return
         # the kept stretches one after the other, each with the place after it, which becomes an end mark
         size = end - begin + 1
         upto = np.cumsum(size)
         place = np.arange(int(upto[-1])) + np.repeat(begin - (upto - size), size)
         kept = np.where(symbols[place] == _OTHER, _END, symbols[place])
-        index = FmIndex(np.append(kept, _LAST), self.phrases.size)
-        lo, hi = index.search(self.phrases.rows)
-        count = hi - lo
-        which = np.repeat(np.arange(len(lo)), count)
-        if not len(which):
-            return
-        rows = np.arange(len(which)) + np.repeat(lo - (np.cumsum(count) - count), count)
-        at = place[index.locate(rows)]
+        index = FmIndex(np.append(kept, _LAST), len(self.alphabet) + 2)
         starts = np.array(self.starts)
-        document = np.searchsorted(starts, at, side="right") - 1
-        found = sorted({(int(d), self.phrases.owner[w], int(a)) for d, w, a in zip(document, which, at, strict=True)})
+        found: set[tuple[int, int, int]] = set()
+        for phrases in blocks:
+            lo, hi = index.search(phrases.rows)
+            count = hi - lo
+            which = np.repeat(np.arange(len(lo)), count)
+            rows = np.arange(len(which)) + np.repeat(lo - (np.cumsum(count) - count), count)
+            at = place[index.locate(rows)]
+            document = np.searchsorted(starts, at, side="right") - 1
+            found.update(zip(document.tolist(), phrases.owner[which].tolist(), at.tolist(), strict=True))
         d0 = i0 = None
         first = last = 0
-        for d, item, a in found:
+        for d, item, a in sorted(found):
             a += self.offsets[d] - self.starts[d]
             if d == d0 and item == i0 and a <= last:
                 last = a + n_words
@@ -203,7 +201,8 @@ class Shard:
             if d0 is not None:
                 yield self.keys[d0], i0, first, last
             d0, i0, first, last = d, item, a, a + n_words
-        yield self.keys[d0], i0, first, last
+        if d0 is not None:
+            yield self.keys[d0], i0, first, last
 
 
 def _blocks(items: DataFrame, id_column: str, passage_column: str, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -221,15 +220,17 @@ def _blocks(items: DataFrame, id_column: str, passage_column: str, most: int) ->
         yield block
 
 
-def _search(phrases: Callable[[], Phrases], shard_words: int, id_column: str, item_column: str):
+def _search(alphabet, blocks: list, n_words: int, shard_words: int, id_column: str, item_column: str):
+    """alphabet and the Phrases of each block are broadcast variables."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = phrases()
-        overlap = mine.n_words - 1
-        shard = Shard(mine)
+        overlap = n_words - 1
+        shard = Shard(alphabet.value, n_words)
         for batch in batches:
             kind = batch.schema.field(0).type
 
-            def out(found: list[tuple], kind=kind) -> pa.RecordBatch:
+            def out(shard: Shard, kind=kind) -> pa.RecordBatch:
+                found = list(shard.find(b.value for b in blocks))
                 columns = zip(*found, strict=True) if found else ([], [], [], [])
                 arrays = [pa.array(list(c), t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 return pa.RecordBatch.from_arrays(arrays, names=[id_column, item_column, "first_word", "end_word"])
@@ -241,15 +242,22 @@ def _search(phrases: Callable[[], Phrases], shard_words: int, id_column: str, it
                     for k in range(0, max(1, len(document) - overlap), shard_words):
                         shard.add(key, document[k : k + shard_words + overlap], offset + k)
                         if len(shard.symbols) >= shard_words:
-                            yield out(list(shard.find()))
-                            shard = Shard(mine)
+                            yield out(shard)
+                            shard = Shard(alphabet.value, n_words)
                     offset += len(document) + 1
         if shard.keys:
-            yield out(list(shard.find()))
+            yield out(shard)
 
     return run
 
 
+#: Spans from left to right, those that overlap or touch become one.
+_MERGED = """aggregate(array_sort(spans), cast(array() as array<struct<first_word:bigint,end_word:bigint>>), (a, x) ->
+    CASE WHEN size(a) > 0 AND element_at(a, -1).end_word >= x.first_word
+    THEN concat(slice(a, 1, size(a) - 1), array(named_struct('first_word', element_at(a, -1).first_word, 'end_word', greatest(element_at(a, -1).end_word, x.end_word))))
+    ELSE concat(a, array(x)) END)"""
+
+
 def leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -268,11 +276,12 @@ def leaks(
     source = documents.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("__text")).filter("__text is not null")
     id_type = source.schema["__id"].dataType.simpleString()
     schema = f"{id_column} {id_type}, {item_column} bigint, first_word bigint, end_word bigint"
-    found = None
-    for block in _blocks(items, item_column, passage_column, block_chars):
-        run = _search(lambda block=block: Phrases(block, n_words), shard_words, id_column, item_column)
-        part = source.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = documents.sparkSession.createDataFrame([], schema)
-    return found.distinct()
+    context = documents.sparkSession.sparkContext
+    alphabet: dict[str, int] = {}
+    blocks = [context.broadcast(Phrases(block, n_words, alphabet)) for block in _blocks(items, item_column, passage_column, block_chars)]
+    if not alphabet:
+        return documents.sparkSession.createDataFrame([], schema)
+    run = _search(context.broadcast(alphabet), blocks, n_words, shard_words, id_column, item_column)
+    # a task's spans of one mail and item are few: those of one text don't overlap
+    found = source.mapInArrow(run, schema).groupBy(id_column, item_column).agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
+    return found.select(id_column, item_column, F.inline(F.expr(_MERGED)))

@@ -108,10 +108,16 @@ def forms(df: DataFrame, id_column: str, text_column: str, memory_mb: int = 256)
     return out.select(F.col("__id").alias(id_column), F.col("__text").alias(text_column), "form")
 
 
-def pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """(src_table, id_a, id_b), id_a < id_b: rows of one table that look the same but differ in characters.
+#: Rows of one class that one task joins; a larger class is spread over as many tasks as it takes.
+CLASS_ROWS = 50_000
+
 
-    tables maps a name to (rows, id column, text column).  Only ids and digests are shuffled.
+def classes(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(src_table, id, form, body, n): rows that look like another row with other characters.
+
+    ``form`` names what a row looks like, ``body`` its characters, ``n`` counts the rows with these characters:
+    rows of one form and several bodies belong together, and copies aren't paired with each other.  tables maps a
+    name to (rows, id column, text column).  Only ids and digests are shuffled.
     """
     rows = None
     for name, (df, id_column, text_column) in tables.items():
@@ -121,11 +127,24 @@ def pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     # the digests are read several times below: written once, the texts aren't folded again for each
     ensure_checkpoint_dir(rows.sparkSession)
     rows = rows.filter("id is not null").distinct().checkpoint()
+    bodies = rows.groupBy("src_table", "form", "body").agg(F.count("*").alias("n"))
+    several = bodies.groupBy("src_table", "form").agg(F.min("body").alias("x"), F.max("body").alias("y")).filter("x <> y").select("src_table", "form")
+    return rows.join(bodies.join(several, ["src_table", "form"], "left_semi"), ["src_table", "form", "body"]).select("src_table", "id", "form", "body", "n")
+
+
+def pairs(tables: dict[str, tuple[DataFrame, str, str]], class_rows: int = CLASS_ROWS) -> DataFrame:
+    """(src_table, id_a, id_b), id_a < id_b: rows of one table that look the same but differ in characters.
+
+    Pairs of bodies come first, then their rows; a body with more than ``class_rows`` rows is split by a hash of
+    the id into parts of about that size, on both sides of the joins.
+    """
     key = ["src_table", "form"]
-    several = rows.groupBy(*key).agg(F.min("body").alias("x"), F.max("body").alias("y")).filter("x <> y").select(*key)
-    rows = rows.join(several, key, "left_semi")
-    classes = rows.select(*key, "body").distinct()
-    both = classes.withColumnRenamed("body", "body_a").join(classes.withColumnRenamed("body", "body_b"), key).filter("body_a < body_b")
-    both = both.join(rows.select(*key, F.col("body").alias("body_a"), F.col("id").alias("a")), [*key, "body_a"])
-    both = both.join(rows.select(*key, F.col("body").alias("body_b"), F.col("id").alias("b")), [*key, "body_b"])
+    rows = classes(tables)
+    parts = F.ceil(F.col("n") / class_rows).cast("int")
+    bodies = rows.select(*key, "body", parts.alias("parts")).distinct()
+    rows = rows.select(*key, "body", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    side = lambda x: bodies.select(*key, F.col("body").alias(f"body_{x}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{x}"))
+    members = lambda x: rows.select(*key, F.col("body").alias(f"body_{x}"), F.col("part").alias(f"part_{x}"), F.col("id").alias(x))
+    both = side("a").join(side("b"), key).filter("body_a < body_b")
+    both = both.join(members("a"), [*key, "body_a", "part_a"]).join(members("b"), [*key, "body_b", "part_b"])
     return both.filter("a <> b").select("src_table", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

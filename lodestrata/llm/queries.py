@@ -48,6 +48,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.unionByName(same)
 
 
+def p4_same_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings at least half of whose other related lines say the same as their own line."""
+    return repetition.same_lines(_read(spark, sf_dir, "lint_findings"), _read(spark, sf_dir, "corpus_docs"))
+
+
 def p4_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of every document."""
     docs = _read(spark, sf_dir, "corpus_docs").select("corpus_id", "text").distinct()
@@ -78,12 +83,19 @@ def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents or of findings that look the same but are written with other characters."""
-    return lookalike.pairs(
-        {
-            "corpus_docs": (_read(spark, sf_dir, "corpus_docs"), "corpus_id", "text"),
-            "lint_findings": (_read(spark, sf_dir, "lint_findings"), "finding_id", "excerpt"),
-        }
-    )
+    return lookalike.pairs(_looked_at(spark, sf_dir))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without pairs: each such row with the class it looks like and the class of its characters."""
+    return lookalike.classes(_looked_at(spark, sf_dir)).drop("n")
+
+
+def _looked_at(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {
+        "corpus_docs": (_read(spark, sf_dir, "corpus_docs"), "corpus_id", "text"),
+        "lint_findings": (_read(spark, sf_dir, "lint_findings"), "finding_id", "excerpt"),
+    }
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +134,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_rendered": p3_rendered,
         "p4_found": p4_found,
+        "p4_same_lines": p4_same_lines,
         "p4_measures": p4_measures,
         "p5_found": p5_found,
         "p5_sentences": p5_sentences,
         "p6_found": p6_found,
+        "p6_classes": p6_classes,
         "p6_forms": p6_forms,
         "p7_ids": p7_ids,
         "p8_found": p8_found,

@@ -28,6 +28,7 @@ from .lexicon import CLOSING_MARKS, COMMON_WORDS, SENTENCE_ENDS
 SAMPLE = 4000
 #: Weight of the host's rate in the smoothed score, and how many mails the prior counts as.
 HOST_WEIGHT, HOST_PRIOR = 0.1, 50.0
+HOST_PARTS = 16
 
 FEATURES = ["sentences", "common", "distinct_words", "links", "tags", "separators", "prices", "top_word", "line_words", "details", "size"]
 
@@ -128,10 +129,12 @@ def scores(
     ensure_checkpoint_dir(spark)
     total = max(1, df.count())
     cut = int(min(1.0, sample / total) * (1 << 30))
-    chosen = df.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < cut).limit(2 * sample)
+    chosen = df.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < cut)
+    # in an order that doesn't depend on files or tasks: the same mails give the same trees
+    chosen = chosen.orderBy(F.xxhash64(F.col(id_column)), F.col(text_column)).limit(2 * sample).repartition(32)
     spam, prose = _votes()
     labelled = _measure(chosen, id_column, text_column, sender_column).filter("size > 0")
-    labelled = labelled.select(*FEATURES, F.expr(spam).alias("spam"), F.expr(prose).alias("prose")).toPandas()
+    labelled = labelled.select(*FEATURES, F.expr(spam).alias("spam"), F.expr(prose).alias("prose")).toPandas().sort_values(FEATURES)
     sure = labelled[(labelled.spam == 0) != (labelled.prose == 0)]
     x, y = sure[FEATURES].to_numpy(), (sure.spam > 0).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
@@ -142,8 +145,11 @@ def scores(
     prior = pages.filter("host <> ''").agg(F.avg("page").alias("prior"))
     rates = pages.filter("host <> ''").groupBy("host").agg(F.sum("page").alias("s"), F.count("*").alias("n")).crossJoin(F.broadcast(prior))
     rates = rates.select("host", ((F.col("s") + HOST_PRIOR * F.col("prior")) / (F.col("n") + HOST_PRIOR)).alias("host_rate"))
+    # a host may hold a third of all rows: its pages are spread over parts, and each part finds its rate
+    pages = pages.withColumn("part", F.pmod(F.xxhash64("__id"), F.lit(HOST_PARTS)).cast("int"))
+    rates = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
     score = F.coalesce(F.col("page") + host_weight * (F.col("host_rate") - F.col("page")), F.col("page"))
-    return pages.join(rates, "host", "left").select(F.col("__id").alias(id_column), "host", "page", "host_rate", score.alias("score"))
+    return pages.join(rates, ["host", "part"], "left").select(F.col("__id").alias(id_column), "host", "page", "host_rate", score.alias("score"))
 
 
 def found(df: DataFrame, id_column: str = "doc_id", threshold: float = 0.5, **how) -> DataFrame:

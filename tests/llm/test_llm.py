@@ -160,7 +160,7 @@ def test_repeated_share_against_brute_force(spark):
         units, n, seen, covered = re.findall(r"[a-z]+|\.", text.lower()), 5, set(), set()
         for i in range(len(units) - n + 1):
             run = tuple(units[i : i + n])
-            if "." in run or sum(map(len, run)) < 10:
+            if "." in run:
                 continue
             if run in seen:
                 covered |= set(range(i, i + n))
@@ -312,3 +312,79 @@ def test_own_text():
     text = "From: a\n\nHi Ann,\n\nMine here.\n\nOn Mon, 1 Mar 2021, B wrote:\n> theirs\n\n-- \nA\nB"
     assert mail.own_text(text) == "Mine here."
     assert mail.own_text(None) == "" and mail.parts("Content-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/plain\n\nunfinished")[0].text == "unfinished"
+
+
+# no case is lost by its size
+
+
+def test_short_words_and_long_links_count(spark):
+    again = repetition.measured(frame(spark, ["I go up to it. " * 10]), "text").first()
+    assert again.repeated_share > 0.8 and again.again_share > 0.8
+    for n in (10, 400, 5000):
+        text = f"See https://a.example/{'x.y!z?' * n}q for it. Then go on."
+        rows = sentences.spans(frame(spark, [text]).select("id", "text"), ["id"], "text").orderBy("start_pos").collect()
+        assert [text[r.start_pos : r.end_pos] for r in rows] == [text[:-12], "Then go on."]
+
+
+def test_sentences_of_a_very_long_text(spark):
+    text = "".join(f"Line {k} is here. " for k in range(3000)) + "日本です。"
+    rows = sentences.sentences(frame(spark, [text, None, " "]).select("id", "text"), ["id"], "text").orderBy("start_pos").collect()
+    assert len(rows) == 3001 and all(text[r.start_pos : r.end_pos] == r.sentence for r in rows)
+    assert rows[2999].sentence == "Line 2999 is here." and rows[3000].sentence == "日本です。"
+
+
+def test_parts_at_any_depth():
+    text = "the text"
+    for k in range(40):
+        text = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{text if k else "Content-Type: text/plain" + chr(10) * 2 + text}\n--b{k}--\n'
+    text = "Content-Type: message/rfc822\n\n" + text
+    assert [p.text for p in mail.parts(text)] == ["the text"]
+
+
+def test_long_headings_labels_and_references():
+    assert "heading" in markup.read("x" * 500 + "\n====\n\ntext").pieces
+    assert markup.read(f"[a][{'r' * 100}] is a link").render() == "a is a link"
+    assert "123456. x" in markup.read("123456. x").render()
+    assert markup.read("a &CounterClockwiseContourIntegral; b").marked
+
+
+def test_large_classes_are_split(spark):
+    texts = ["Paper 10"] * 7 + ["Ｐａｐｅｒ　１０"] * 5 + ["Рареr 10"] * 3 + ["other"] * 4
+    tables = {"t": (frame(spark, texts), "id", "text")}
+    want = {(a, b) for a in range(19) for b in range(a + 1, 19) if texts[a] != texts[b] and "other" not in (texts[a], texts[b])}
+    for rows in (2, 50_000):
+        assert {(r.id_a, r.id_b) for r in lookalike.pairs(tables, rows).collect()} == want
+    got = lookalike.classes(tables).collect()
+    assert {(r.id, r.n) for r in got} == {(k, texts.count(texts[k])) for k in range(15)} and len({r.form for r in got}) == 1 and len({r.body for r in got}) == 3
+
+
+def test_blocks_of_phrases_and_spans_over_cuts(spark):
+    passages = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    items = spark.createDataFrame([(k, p) for k, p in enumerate(passages)], "item_id bigint, passage string")
+    text = "A: b\n\n" + "start " * 20 + passages[3] + " stop " * 5 + passages[1]
+    for shard, block in ((15, 10), (1_000_000, 300), (1_000_000, 8_000_000)):
+        got = {tuple(r) for r in leakage.leaks(frame(spark, [text]), items, "id", "text", shard_words=shard, block_chars=block).collect()}
+        assert got == {(0, 3, 20, 60), (0, 1, 65, 105)}
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(spark):
+    texts = [PROSE + f" No. {k}." for k in range(40)] + [f"- item {k}\n- more\n- {k}" for k in range(40)]
+    one, two = frame(spark, texts), frame(spark, texts).orderBy(F.desc("id")).repartition(5)
+    assert quality.rule_list(one, "text") == quality.rule_list(two, "text")
+    labelled = one.withColumn("junk", F.col("id") >= 40)
+    assert {r.id for r in quality.found(labelled, "id", "text", label_column="junk").collect()} == set(range(40, 80))
+
+
+def test_against_sql(spark):
+    import os
+
+    import duckdb
+    from lodestrata.llm import queries, sql
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{data}/{f}')")
+    for name, text in sql.oracle_sql().items():
+        got, want = queries.queries()[name](spark, data).toPandas(), con.execute(text).df()
+        assert sorted(map(tuple, got[sorted(got.columns)].to_numpy().tolist())) == sorted(map(tuple, want[sorted(want.columns)].to_numpy().tolist())) and len(want)
