@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..codes import CASED_EXTENSIONS, EXTENSIONS, FILE_NAMES, LANGUAGES, TEST_DIRECTORIES, VENDOR_DIRECTORIES
+from ..codes import CASED_EXTENSIONS, EXTENSIONS, FILE_NAMES, GENERATED_ENDS, LANGUAGES, TEST_DIRECTORIES, TEST_PARTS, TEST_PREFIX, VENDOR_DIRECTORIES
 
 
 def file_name(path: Column) -> Column:
@@ -40,7 +41,7 @@ def language(path: Column) -> Column:
     name = file_name(path)
     raw = F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
     kconfig = F.when(name.startswith("Kconfig."), LANGUAGES.index("kconfig"))
-    return F.coalesce(F.try_element_at(_table(FILE_NAMES), name), kconfig, F.try_element_at(_table(CASED_EXTENSIONS), raw), F.try_element_at(_table(EXTENSIONS), F.lower(raw)), F.lit(0)).cast("smallint")
+    return F.coalesce(F.try_element_at(_table(FILE_NAMES), name), kconfig, F.when(F.length(name) > 2, F.try_element_at(_table(CASED_EXTENSIONS), F.substring_index(name, ".", -1))), F.try_element_at(_table(EXTENSIONS), F.lower(raw)), F.lit(0)).cast("smallint")
 
 
 def flags(path: Column) -> Column:
@@ -48,7 +49,8 @@ def flags(path: Column) -> Column:
     directories = F.transform(F.split(parent(path), "/"), F.lower)
     name = F.lower(file_name(path))
     in_ = lambda names: F.arrays_overlap(directories, F.array(*map(F.lit, names)))
-    test = in_(TEST_DIRECTORIES) | F.regexp_like(name, F.lit(r"^test_|_test\.|\.test\.|_unittest\."))
-    generated = F.regexp_like(name, F.lit(r"\.(?:pb\.(?:cc|h|go)|g\.cs|generated\.\w+|designer\.cs)$|_generated\.\w+$|\.min\.js$"))
+    any_of = lambda tests: reduce(Column.__or__, tests)
+    test = in_(TEST_DIRECTORIES) | F.startswith(name, F.lit(TEST_PREFIX)) | any_of([F.contains(name, F.lit(x)) for x in TEST_PARTS])
+    generated = any_of([F.endswith(name, F.lit(x)) for x in GENERATED_ENDS])
     bit = lambda c, b: F.when(c, b).otherwise(0)
     return (bit(test, 4) + bit(generated, 8) + bit(in_(VENDOR_DIRECTORIES), 16)).cast("int")

@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from ..codes import CJK_RANGES
+
 #: Scalars of Chinese, Japanese and Korean scripts, as a regex class.
-CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{2FDF}\x{3040}-\x{30FF}\x{3100}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]"
+CJK = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in CJK_RANGES) + "]"
 _CONTROLS = r"\x{0000}-\x{001F}\x{007F}-\x{009F}\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}"
 
 

@@ -12,10 +12,12 @@ import re
 import unicodedata
 import uuid
 
+from ..codes import CJK_RANGES
+
 SCHEMA_VERSION = 1
 OK, NOTHING, USAGE, CORRUPT, PARTIAL, INTERNAL = 0, 1, 2, 3, 4, 70
 LIMIT, MOST, BUDGET, LEAST_BUDGET, MOST_BUDGET = 50, 10_000, 8000, 256, 1_000_000
-_CJK = re.compile("[\u1100-\u11ff\u2e80-\u2fdf\u3040-\u30ff\u3100-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_CJK = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES) + "]")
 _UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
 
 

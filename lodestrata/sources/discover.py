@@ -1,4 +1,4 @@
-"""A source tree as a DataFrame of files: walked on the driver, read, classified and scanned on the executors."""
+"""A source tree as a DataFrame of files: walked on the driver, read, classified and extracted on the executors."""
 
 from __future__ import annotations
 
@@ -11,26 +11,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..codes import EDGE_KINDS, ENCODINGS, LANGUAGES, NODE_KINDS
 from ..functions import paths as P
-from . import encodings, ignore
+from . import encodings, extract, ignore
 
 EXCLUDED = {".git", ".hg", ".svn"}
-MOST_DEPTH, MOST_BYTES, MOST_SCANNED = 256, 64 << 20, 8 << 20
+MOST_DEPTH, MOST_BYTES, MOST_ENTRIES = 256, 64 << 20, 8_000_000
+#: Problems after which a scan isn't complete.
+INCOMPLETE = ("PermissionDenied", "DepthLimitExceeded", "EntryLimitExceeded", "DirectoryCycle", "FileUnreadable", "PathRejected", "IgnoreFileUnreadable")
+DIRECTORY = "Directory"
 IGNORE_FILES = (".gitignore",)
 FILE_SCHEMA = "path string, physical string, size_bytes bigint, problem string"
 
 
-def walk(root: str, ignore_files: tuple[str, ...] = IGNORE_FILES, use_ignore: bool = True, follow: bool = False, excluded: str | None = None) -> Iterator[tuple[str, str, int, str | None]]:
-    """(path, physical path, size, problem) of files in order; a problem row stands for what was skipped."""
+def walk(root: str, ignore_files: tuple[str, ...] = IGNORE_FILES, use_ignore: bool = True, follow: bool = False, excluded: str | None = None, most_depth: int = MOST_DEPTH, most_bytes: int = MOST_BYTES, most_entries: int = MOST_ENTRIES) -> Iterator[tuple[str, str, int, str | None]]:
+    """(path, physical path, size, what) in order: what is null for a file, ``Directory``, or why something was skipped.
+
+    Directories and files are counted apart, up to ``most_entries`` of each.
+    """
     root = os.path.realpath(root)
+    excluded = excluded and os.path.realpath(excluded)
+    counts = {True: 0, False: 0}
 
     def visit(at: str, segments: list[str], rules: list, above: tuple[str, ...]) -> Iterator[tuple[str, str, int, str | None]]:
         if use_ignore:
             for name in ignore_files:
                 file = os.path.join(at, name)
                 if os.path.isfile(file) and os.path.getsize(file) <= 1 << 20:
-                    with open(file, encoding="utf-8", errors="replace") as f:
-                        rules = [*rules, (len(segments), ignore.parse(f.read().split("\n")))]
+                    try:
+                        with open(file, encoding="utf-8", errors="replace") as f:
+                            rules = [*rules, (len(segments), ignore.parse(f.read().split("\n")))]
+                    except OSError:
+                        yield "/".join([*segments, name]), file, 0, "IgnoreFileUnreadable"
         try:
             entries = sorted(os.scandir(at), key=lambda e: e.name.encode("utf-16-be", "surrogatepass"))
         except OSError:
@@ -55,142 +67,99 @@ def walk(root: str, ignore_files: tuple[str, ...] = IGNORE_FILES, use_ignore: bo
                 continue
             if use_ignore and ignore.decide(rules, mine, directory) == "ignored":
                 continue
+            if any(ord(c) < 32 or c in "\x7f\\" for c in e.name):
+                yield path, e.path, 0, "PathRejected"
+                continue
+            if directory or os.path.isfile(real):
+                counts[directory] += 1
+                if counts[directory] > most_entries:
+                    if counts[directory] == most_entries + 1:
+                        yield path, e.path, 0, "EntryLimitExceeded"
+                    continue
             if directory:
-                if len(mine) > MOST_DEPTH:
+                if len(mine) > most_depth:
                     yield path, e.path, 0, "DepthLimitExceeded"
                 else:
+                    yield path, real, 0, DIRECTORY
                     yield from visit(real, mine, rules, (*above, real))
             elif os.path.isfile(real):
                 size = os.path.getsize(real)
-                yield path, real, size, "FileTooLarge" if size > MOST_BYTES else None
+                yield path, real, size, "FileTooLarge" if size > most_bytes else None
 
     yield from visit(root, [], [], (root,))
 
 
-def tree(spark: SparkSession, root: str, **how) -> DataFrame:
-    return spark.createDataFrame(list(walk(root, **how)), FILE_SCHEMA)
+_SYMBOL = "kind tinyint, name string, qualified_name string, ordinal bigint, parent_kind tinyint, parent_qualified string, parent_ordinal bigint, start_line int, end_line int, start_byte bigint, end_byte bigint, flags int, condition string, doc_bytes bigint"
+_REFERENCE = "source_kind tinyint, source_qualified string, source_ordinal bigint, edge_kind tinyint, target string, qualifier string, line int, start_byte bigint, end_byte bigint, stage tinyint, confidence tinyint"
+_READ = f"path string, language smallint, flags int, size_bytes bigint, encoding smallint, candidates array<string>, content_sha256 string, line_count int, tier tinyint, reason string, symbols array<struct<{_SYMBOL.replace(' ', ': ').replace(',: ', ', ')}>>, refs array<struct<{_REFERENCE.replace(' ', ': ').replace(',: ', ', ')}>>, problem string"
+_NODE_CODE = {k: i for i, k in enumerate(NODE_KINDS, 1)}
+_EDGE_CODE = {k: i for i, k in enumerate(EDGE_KINDS, 1)}
+BINARY, UNDETERMINED, SKIPPED, AMBIGUOUS = 64, 128, 256, 1024
 
 
-_READ = "path string, size_bytes bigint, encoding string, candidates array<string>, content_sha256 string, line_count int, text string, problem string"
+def _flat(found: extract.Extracted) -> tuple[list[dict], list[dict]]:
+    """Symbols and references with their parents and sources named by what makes up an id."""
+    symbols, references = [], []
+    name = lambda k: (_NODE_CODE[found.symbols[k].kind], found.symbols[k].qualified, found.ordinals[k]) if k >= 0 else (None, None, None)
+    for s, ordinal in zip(found.symbols, found.ordinals, strict=True):
+        kind, qualified, nth = name(s.parent)
+        symbols.append({"kind": _NODE_CODE[s.kind], "name": s.name, "qualified_name": s.qualified, "ordinal": ordinal, "parent_kind": kind, "parent_qualified": qualified, "parent_ordinal": nth, "start_line": s.start_line, "end_line": s.end_line, "start_byte": s.start, "end_byte": s.end, "flags": s.flags, "condition": s.condition, "doc_bytes": s.doc})
+    for r in found.references:
+        kind, qualified, nth = name(r.source)
+        references.append({"source_kind": kind, "source_qualified": qualified, "source_ordinal": nth, "edge_kind": _EDGE_CODE[r.kind], "target": r.target, "qualifier": r.qualifier, "line": r.line, "start_byte": r.start, "end_byte": r.end, "stage": r.stage, "confidence": r.confidence})
+    return symbols, references
 
 
-def read(files: DataFrame) -> DataFrame:
-    """One pass over each file's bytes: hash, encoding, lines and text (of files up to the scanning limit)."""
+def read(files: DataFrame, tier: int = 2, assume: str | None = None, most_scanned: int = extract.MOST_BYTES) -> DataFrame:
+    """One pass over each file's bytes: hash, encoding, lines, symbols and references.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, physical, size, problem in batch[["path", "physical", "size_bytes", "problem"]].itertuples(index=False):
-                if problem:
-                    rows.append((path, size, None, [], None, 0, None, problem))
-                    continue
-                try:
-                    with open(physical, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    rows.append((path, size, None, [], None, 0, None, "FileUnreadable"))
-                    continue
-                name, candidates = encodings.detect(content)
-                text = encodings.decode(content, name) if name not in ("binary", "undetermined") and len(content) <= MOST_SCANNED else None
-                lines = 0 if not content or name == "binary" else len(re.findall(rb"\r\n|\r|\n", content)) + (content[-1:] not in (b"\r", b"\n"))
-                rows.append((path, len(content), name, candidates, hashlib.sha256(content).hexdigest(), lines, text, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
-
-    return files.mapInPandas(run, _READ).withColumns({"language": P.language(F.col("path")), "flags": P.flags(F.col("path"))})
-
-
-# Words that open a definition, by language family, and the kind they define.
-_C = {"struct": "Type", "union": "Type", "enum": "Type", "class": "Type", "interface": "Type", "namespace": "Module"}
-_WEB = {"function": "Function", "class": "Type", "interface": "Type", "enum": "Type", "type": "Type"}
-_MANAGED = {"class": "Type", "interface": "Type", "enum": "Type", "record": "Type"}
-DEFINITIONS = {
-    "c": _C, "c-header": _C, "cpp": _C, "cpp-header": _C, "objective-c": _C, "objective-cpp": _C,
-    "rust": {"fn": "Function", "struct": "Type", "enum": "Type", "trait": "Type", "union": "Type", "type": "Type", "mod": "Module", "const": "Constant", "static": "Variable"},
-    "python": {"def": "Function", "class": "Type"}, "go": {"func": "Function", "type": "Type"}, "java": _MANAGED, "csharp": _MANAGED,
-    "javascript": _WEB, "typescript": _WEB, "tsx": _WEB, "fsharp": {"type": "Type", "module": "Module", "namespace": "Module", "val": "Function"},
-}
-IMPORTS = {
-    **dict.fromkeys(("c", "c-header", "cpp", "cpp-header", "objective-c", "objective-cpp", "assembly"), (r"^\s*#\s*(?:include|include_next|import)\s*[<\"]([^>\"]+)[>\"]", "INCLUDES")),
-    "python": (r"^\s*(?:from|import)\s+([\w.]+)", "IMPORTS"), "java": (r"^\s*import\s+(?:static\s+)?([\w.*]+)", "IMPORTS"), "csharp": (r"^\s*using\s+([\w.]+)", "IMPORTS"), "fsharp": (r"^\s*open\s+([\w.]+)", "IMPORTS"),
-    "rust": (r"^\s*(?:pub\s+)?(?:use|mod)\s+([\w:]+)", "IMPORTS"), **dict.fromkeys(("go", "javascript", "typescript", "tsx"), (r"^\s*import\b[^\"']*[\"']([^\"']+)[\"']", "IMPORTS")),
-    "kconfig": (r"^\s*source\s+\"([^\"]+)\"", "INCLUDES"), "cmake": (r"^\s*include\s*\(\s*([^\s)]+)", "INCLUDES"), "shell": (r"^\s*(?:source|\.)\s+(\S+)", "INCLUDES"), "makefile": (r"^-?include\s+(\S+)", "INCLUDES"),
-}
-NOTES = r"\b(TODO|FIXME|NOTE|HACK|SAFETY|XXX)(?:\([^)]*\))?:[ \t]*(.*)"
-GENERATED = r"@generated|do not edit|generated by|autogenerated|auto-generated|automatically generated|this file was generated"
-_HASH = ("python", "shell", "makefile", "cmake", "yaml", "toml", "kconfig", "gn")
-
-
-def scan(text: str, language: str) -> tuple[list[tuple], list[tuple], bool]:
-    """Line tier: (kind, name, qualified, line) of definitions and notes, (kind, target, line) of imports, generated.
-
-    Block comments, line comments and strings are masked before definitions are looked for; notes and the marker
-    of generated files are looked for in comments only.
+    ``assume`` is the encoding of files of several possible ones, if it is one of theirs.  Why a file's symbols
+    weren't looked for, or not in the best way, stands in ``reason``.
     """
-    symbols, references, generated, inside = [], [], False, False
-    words = DEFINITIONS.get(language, {})
-    define = re.compile(r"^\s*(?:[A-Za-z_]\w*\s+){0,4}?(" + "|".join(words) + r")\s+([A-Za-z_]\w*)") if words else None
-    brings = IMPORTS.get(language)
-    line_comment = "#" if language in _HASH else "//"
-    for n, line in enumerate(re.split(r"\r\n|\r|\n", text), 1):
-        code, comment = [], []
-        rest = line
-        while rest:
-            if inside:
-                end = rest.find("*/")
-                comment.append(rest if end < 0 else rest[:end])
-                inside, rest = end < 0, "" if end < 0 else rest[end + 2 :]
-                continue
-            m = re.search(r"/\*|" + re.escape(line_comment) + r"|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", rest) if language not in _HASH else re.search(r"#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", rest)
-            if m is None:
-                code.append(rest)
-                break
-            code.append(rest[: m.start()])
-            if m.group() == "/*":
-                inside, rest = True, rest[m.end() :]
-            elif m.group() == line_comment:
-                comment.append(rest[m.end() :])
-                rest = ""
+
+    def one(path: str, physical: str, language: int, flags: int) -> tuple:
+        try:
+            with open(physical, "rb") as f:
+                content = f.read()
+        except OSError:
+            return (path, language, flags | SKIPPED, 0, None, [], None, 0, 0, "read-error", [], [], "FileUnreadable")
+        name, candidates = encodings.detect(content)
+        lines = 0 if not content or name == "binary" else len(re.findall(rb"\r\n|\r|\n", content)) + (content[-1:] not in (b"\r", b"\n"))
+        sha = hashlib.sha256(content).hexdigest()
+        reached, reason, symbols, references = 0, None, [], []
+        several = name == "undetermined" and len(candidates) > 1
+        if several and assume in candidates:
+            name, several = assume, False
+        if name == "binary":
+            flags, reason = flags | BINARY, "binary"
+        elif several:
+            flags, reason = flags | AMBIGUOUS | UNDETERMINED, "ambiguous-encoding"
+        elif len(content) > most_scanned:
+            reason = "extraction-size-limit"
+        else:
+            flags |= UNDETERMINED if name == "undetermined" else 0
+            text = encodings.decode(content, name)
+            if text is None:
+                reason = "unsupported-encoding"
             else:
-                code.append('"' + " " * (len(m.group()) - 2) + '"')
-                rest = rest[m.end() :]
-        said, plain = " ".join(comment), "".join(code)
-        if said:
-            if n <= 32 and re.search(GENERATED, said.lower()):
-                generated = True
-            if m := re.search(NOTES, said):
-                body = m.group(2).strip("*/\r\t ")[:256]
-                symbols.append(("Note", m.group(1), f"{m.group(1)}: {body}", n))
-        if brings and (m := re.search(brings[0], line)) and plain.strip():
-            references.append((brings[1], m.group(1), n))
-            continue
-        if m := re.match(r"\s*#\s*define\s+([A-Za-z_]\w*)(\()?", plain):
-            symbols.append(("Macro" if m.group(2) else "Constant", m.group(1), m.group(1), n))
-        elif language == "kconfig" and (m := re.match(r"\s*(?:menu)?config\s+(\w+)", plain)):
-            symbols.append(("ConfigSymbol", m.group(1), m.group(1), n))
-        elif language == "makefile" and (m := re.match(r"([\w./-]+)\s*:(?!=)", plain)):
-            symbols.append(("BuildTarget", m.group(1), m.group(1), n))
-        elif language == "makefile" and (m := re.match(r"([A-Za-z_]\w*)\s*[:+?]?=", plain)):
-            symbols.append(("Variable", m.group(1), m.group(1), n))
-        elif language == "assembly" and (m := re.match(r"([A-Za-z_.]\w*):", plain)):
-            symbols.append(("Function", m.group(1), m.group(1), n))
-        elif define and (m := define.match(plain)):
-            symbols.append((words[m.group(1)], m.group(2), m.group(2), n))
-    return symbols, references, generated
-
-
-_SYMBOLS = "path string, kind string, name string, qualified_name string, start_line int"
-_REFERENCES = "path string, edge_kind string, target string, line int"
-
-
-def extract(files: DataFrame, languages: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Symbols and references of the files' texts by the line tier; languages names the codes."""
-
-    def of(which: int, schema: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(path, *row) for path, text, code in batch[["path", "text", "language"]].itertuples(index=False) if text for row in scan(text, languages[int(code)])[which]]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-        return files.select("path", "text", "language").mapInPandas(run, schema)
-
-    return of(0, _SYMBOLS), of(1, _REFERENCES)
+                found = extract.file(text, LANGUAGES[language], path, flags, tier)
+                reached, reason, flags = found.tier, found.reason, flags | found.flags
+                symbols, references = _flat(found)
+        problem = {"parse-timeout": "ParseTimedOut", "parse-failed": "ParseFailed", "extraction-limit": "ExtractionTruncated", "extraction-size-limit": "TooLargeToExtract", "ambiguous-encoding": "AmbiguousEncoding"}.get(reason)
+        return (path, language, flags, len(content), ENCODINGS.index(name) + 1, candidates, sha, lines, reached, reason, symbols, references, problem)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = "path language flags size_bytes encoding candidates content_sha256 line_count tier reason symbols refs problem".split()
+        for batch in batches:
+            rows = [one(*row) for row in batch[["path", "physical", "language", "flags"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=names).astype({"language": "Int16", "encoding": "Int16", "tier": "Int8"})
+
+    good = files.filter("problem is null").withColumns({"language": P.language(F.col("path")), "flags": P.flags(F.col("path"))})
+    return good.mapInPandas(run, _READ)
+
+
+def tree(spark: SparkSession, root: str, **how) -> DataFrame:
+    """Everything met on the walk, in as many partitions as there are files for: (path, physical, size_bytes, problem)."""
+    rows = list(walk(root, **how))
+    found = spark.createDataFrame(rows, FILE_SCHEMA)
+    return found.repartition(max(1, min(len(rows) // 64 + 1, 8 * spark.sparkContext.defaultParallelism)))
