@@ -4,42 +4,45 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 
 from pyspark.sql import functions as F
 
-from .codes import LANGUAGES, NODE_KINDS, code
-from .functions.ids import node_id
+from .functions.text import size_of
+from .operators import build
 from .operators import envelope as V
 from .operators import search as S
-from .operators.commands import Command, freshness
-from .session import local_session
+from .operators.commands import Command, freshness, sidecar
+from .session import ensure_checkpoint_dir, local_session
 from .sources import discover, store
 
 
-def index(spark, root: str, out: str, repository: str, use_ignore: bool = True, allow_partial: bool = False) -> str:
-    """Walk, read, scan and publish; returns the generation."""
-    files = discover.read(discover.tree(spark, root, use_ignore=use_ignore, excluded=out)).cache()
-    good = files.filter("problem is null")
-    symbols, references = discover.extract(good, LANGUAGES)
-    kind = F.create_map(*[F.lit(x) for i, k in enumerate(NODE_KINDS) for x in (k, i + 1)])[F.col("kind")]
-    repo = F.lit(repository)
-    base = lambda k, name, qualified, path, file: (F.lit(code(NODE_KINDS, k)).cast("tinyint").alias("kind"), name.alias("name"), qualified.alias("qualified_name"), file.alias("file_path"), node_id(F.lit(code(NODE_KINDS, k)), repo, path, qualified, F.lit(0)).alias("node_id"))
-    p = F.col("path")
-    file_nodes = good.select(*base("File", F.substring_index(p, "/", -1), p, p, p), "flags", F.lit(1).alias("start_line"))
-    from pyspark.sql import Window
+def index(spark, root: str, out: str, repository: str, use_ignore: bool = True, allow_partial: bool = False, tier: int = 2, assume: str | None = None, **limits) -> str:
+    """Walk, read, extract and publish; returns the generation.
 
-    ordinal = F.row_number().over(Window.partitionBy("path", "kind", "qualified_name").orderBy("start_line")) - 1
-    symbol_nodes = symbols.withColumn("ordinal", ordinal).select(kind.cast("tinyint").alias("kind"), "name", "qualified_name", p.alias("file_path"), node_id(kind, repo, p, F.col("qualified_name"), F.col("ordinal")).alias("node_id"), F.lit(1).alias("flags"), "start_line")
-    root_node = spark.range(1).select(*base("Repository", repo, repo, F.lit(""), F.lit(None).cast("string")), F.lit(0).alias("flags"), F.lit(0).alias("start_line"))
-    nodes = root_node.unionByName(file_nodes).unionByName(symbol_nodes)
-    file_id = node_id(F.lit(3), repo, F.col("file_path"), F.col("file_path"), F.lit(0))
-    contains = nodes.filter("kind <> 1").select(F.lit(1).cast("tinyint").alias("kind"), F.when(F.col("kind") == 3, node_id(F.lit(1), repo, F.lit(""), repo, F.lit(0))).otherwise(file_id).alias("src"), F.col("node_id").alias("dst"))
-    complete = files.filter("problem in ('PermissionDenied', 'DepthLimitExceeded', 'DirectoryCycle', 'FileUnreadable')").isEmpty()
-    diagnostics = files.filter("problem is not null").select(F.col("problem").alias("kind"), "path")
-    from .operators.catalogue import lookup
+    What the one pass over the files found is cut off by a checkpoint, so no file is read twice and none of its
+    text is kept.
+    """
+    ensure_checkpoint_dir(spark)
+    seen = discover.tree(spark, root, use_ignore=use_ignore, excluded=out, **limits).checkpoint()
+    directories = seen.filter(F.col("problem") == discover.DIRECTORY).select("path")
+    files = discover.read(seen, tier, assume).checkpoint()
+    tables = build.graph(spark, repository, directories, files)
+    lost = tables.pop("lost")
+    skipped = seen.filter((F.col("problem") != discover.DIRECTORY) & F.col("problem").isNotNull()).select(F.col("problem").alias("kind"), "path", F.lit("").alias("detail"))
+    found = files.filter("problem is not null").select(F.col("problem").alias("kind"), "path", F.coalesce("reason", F.lit("")).alias("detail"))
+    tables["diagnostics"] = skipped.unionByName(found).unionByName(lost)
+    tables["coverage"] = build.coverage(files)
+    complete = tables["diagnostics"].filter(F.col("kind").isin(*discover.INCOMPLETE)).isEmpty()
+    about = {"repository": repository, "tier": tier, "assumeEncoding": assume, "ignore": use_ignore}
+    return store.publish(spark, out, tables, complete, allow_partial, about)
 
-    tables = {"nodes": nodes, "edges": contains.distinct(), "files": good.drop("text", "problem"), "refs": references, "diagnostics": diagnostics, "lookup": lookup(nodes)}
-    return store.publish(out, tables, {"edges": "kind"}, {"nodes": ["node_id"], "lookup": ["folded", "key"]}, complete, allow_partial)
+
+def rebuilt(spark, root: str, out: str, aside: str) -> list[tuple[str, int]]:
+    """Index a tree once more and compare: (table, rows that differ)."""
+    about = store.manifest(spark, out)["about"]
+    index(spark, root, aside, about["repository"], about["ignore"], True, about["tier"], about["assumeEncoding"])
+    return store.differences(store.open_artifact(spark, out), store.open_artifact(spark, aside))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -50,6 +53,11 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--repo", default="repository")
     i.add_argument("--no-gitignore", action="store_true")
     i.add_argument("--allow-partial", action="store_true")
+    i.add_argument("--tier", type=int, choices=(0, 1, 2), default=2)
+    i.add_argument("--assume-encoding", default=None)
+    i.add_argument("--max-file-size", default="64MiB")
+    i.add_argument("--max-depth", type=int, default=discover.MOST_DEPTH)
+    i.add_argument("--follow-symlinks", action="store_true")
     s = sub.add_parser("search")
     s.add_argument("text")
     s.add_argument("--ignore-case", action="store_true")
@@ -70,6 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     fresh.add_argument("--root", required=True)
     for x in (s, show, near, way, pack):
         x.add_argument("--limit", type=int, default=0)
+        x.add_argument("--text", dest="as_text", action="store_true", help="lines for a terminal instead of JSON")
         x.add_argument("--budget", type=int, default=0)
     for x, default in ((near, 1), (way, 16), (pack, 1), (ex, 1)):
         x.add_argument("--depth", type=int, default=default)
@@ -77,18 +86,26 @@ def main(argv: list[str] | None = None) -> int:
         x.add_argument("--edge", default="")
         x.add_argument("--direction", choices=("in", "out", "both"), default="both")
     sub.add_parser("stats")
-    sub.add_parser("verify")
+    verify = sub.add_parser("verify")
+    verify.add_argument("--deterministic", metavar="ROOT", help="index this tree again and compare")
+    note = sub.add_parser("agent-context")
+    note.add_argument("--file", required=True)
+    note.add_argument("--write", metavar="ROOT")
     for x in sub.choices.values():
         x.add_argument("--out", required=True)
     o = a.parse_args(argv)
     spark = local_session()
     try:
         if o.command == "index":
-            print(index(spark, o.path, o.out, o.repo, not o.no_gitignore, o.allow_partial))
+            limits = {"most_bytes": size_of(o.max_file_size), "most_depth": V.bounded(o.max_depth, discover.MOST_DEPTH, 1, discover.MOST_DEPTH, "max-depth"), "follow": o.follow_symlinks}
+            print(index(spark, o.path, o.out, o.repo, not o.no_gitignore, o.allow_partial, o.tier, o.assume_encoding, **limits))
+            return V.PARTIAL if not store.open_artifact(spark, o.out)["diagnostics"].isEmpty() else V.OK
+        if o.command == "agent-context":
+            print(sidecar(o.file, o.out, o.write))
             return V.OK
         tables = store.open_artifact(spark, o.out)
         if o.command in ("search", "show", "neighbors", "path", "context", "export"):
-            c = Command(tables, store.manifest(o.out)["generation"], getattr(o, "limit", 0), getattr(o, "budget", 0))
+            c = Command(tables, store.manifest(spark, o.out)["generation"], getattr(o, "limit", 0), getattr(o, "budget", 0))
             if o.command == "export":
                 return c.export(o.file, o.node, o.depth)
             code_, text = {
@@ -98,25 +115,44 @@ def main(argv: list[str] | None = None) -> int:
                 "path": lambda: c.path(o.source, o.target, o.depth, o.direction, o.edge),
                 "context": lambda: c.context(o.keywords, o.depth),
             }[o.command]()
-            print(text)
+            print(V.lines(text) if o.as_text else text)
             return code_
         if o.command == "freshness":
-            for path, state in freshness(tables["files"], o.root, o.files):
-                print(f"{state} {path}")
-            return V.OK
+            states = freshness(tables["files"], o.root, o.files)
+            for path, state, reason in states:
+                print(f"{state} {path}" + (f" ({reason})" if reason else ""))
+            return V.OK if all(state == "unchanged" for _, state, _ in states) else V.PARTIAL
         if o.command == "stats":
             tables["files"].groupBy("language").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).orderBy(F.desc("files"), "language").show(100)
+            build.tiers(tables["files"]).show()
             return V.OK
         found = store.verify(spark, o.out).collect()
         for check, n in found:
             print(f"{check}: {n}")
-        return V.CORRUPT if any(n for _, n in found) else V.OK
+        if any(n for _, n in found):
+            return V.CORRUPT
+        if o.deterministic:
+            with tempfile.TemporaryDirectory() as aside:
+                other = rebuilt(spark, o.deterministic, o.out, aside)
+            for name, n in other:
+                print(f"rebuilt {name}: {n}")
+            return V.PARTIAL if any(n for _, n in other) else V.OK
+        return V.OK
     except (S.UserError, ValueError) as e:
         print(V.error(o.command, str(e), V.USAGE))
         return V.USAGE
     except store.Corrupt as e:
         print(V.error(o.command, str(e), V.CORRUPT))
         return V.CORRUPT
+    except store.Partial as e:
+        print(V.error(o.command, str(e), V.PARTIAL))
+        return V.PARTIAL
+    except store.Locked as e:
+        print(V.error(o.command, str(e), V.IO))
+        return V.IO
+    except store.Collision as e:
+        print(V.error(o.command, str(e), V.INTERNAL))
+        return V.INTERNAL
 
 
 if __name__ == "__main__":

@@ -120,6 +120,26 @@ def line_count(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(ends + F.when(F.regexp_like(c, F.lit(r"[\r\n]\z")), 0).otherwise(1)).cast("int")
 
 
+def line_starts(c: Column) -> Column:
+    """Bytes before each line; CR, LF and CRLF end one, and what follows the last end is a line, empty or not.
+
+    Pieces are the lines with their ends, so their sizes add up; sums are built in blocks, as appending to one array
+    would copy it for each line.
+    """
+    sizes = F.transform(F.split(F.regexp_replace(c, r"(\r\n|\r|\n)", "$1\x00"), "\x00", -1), lambda x: F.octet_length(x).cast("bigint"))
+
+    def running(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    def of(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(256)), lambda k: F.slice(sizes, k, F.lit(256)))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        begins = running(totals, F.lit(0).cast("bigint"))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, first: F.slice(running(b, first), F.lit(1), F.size(b))))
+
+    return F.get(F.transform(F.array(sizes), of), 0)
+
+
 def flag_names(c: Column, names: list[str]) -> Column:
     return F.filter(F.array(*[F.when(c.bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
 
@@ -130,5 +150,47 @@ def short_name(c: Column) -> Column:
 
 def guard_names(c: Column) -> Column:
     """Identifiers of a preprocessor condition outside literals and numbers, without ``defined``, once each."""
-    t = F.regexp_replace(c, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\b\d\w*", " ")
+    t = F.regexp_replace(c, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\b\d[\w.]*", " ")
     return F.array_except(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Za-z_]\w*"), F.lit(0))), F.array(F.lit("defined")))
+
+
+_SIZES = {"": 1, "b": 1, "kb": 1000, "mb": 1000**2, "gb": 1000**3, "kib": 1024, "mib": 1024**2, "gib": 1024**3, "tib": 1024**4}
+
+
+def size_of(text: str) -> int:
+    """Bytes that a size such as ``64MiB`` spells; ValueError for anything else."""
+    import re
+
+    m = re.fullmatch(r"(\d+) ?([A-Za-z]*)", text.strip())
+    unit = _SIZES.get(m.group(2).lower()) if m else None
+    if unit is None or (value := int(m.group(1)) * unit) >= 1 << 63:
+        raise ValueError(f"not a size: {text!r}")
+    return value
+
+
+@F.pandas_udf(StringType())
+def _cut_units(s: pd.Series, most: pd.Series) -> pd.Series:
+    def one(text: str | None, units: int) -> str | None:
+        if text is None:
+            return None
+        raw = unicodedata.normalize("NFC", text).encode("utf-16-le", "surrogatepass")
+        return raw[: 2 * units].decode("utf-16-le", "ignore")
+
+    return pd.Series([one(a, b) for a, b in zip(s, most, strict=True)])
+
+
+def name_of(c: Column, most: int = 1024) -> Column:
+    """NFC, cut to a number of UTF-16 units; no pair is split.  ASCII names stay in the JVM."""
+    return F.when(_non_ascii(c), _cut_units(c, F.lit(most))).otherwise(F.substring(c, 1, most))
+
+
+@F.pandas_udf(IntegerType())
+def _clusters(s: pd.Series) -> pd.Series:
+    import regex
+
+    return s.map(lambda x: None if x is None else len(regex.findall(r"\X", x))).astype("Int32")
+
+
+def grapheme_count(c: Column) -> Column:
+    """Clusters that a reader takes as one character; CR LF is one."""
+    return F.when(_non_ascii(c), _clusters(c)).otherwise(F.length(F.replace(c, F.lit("\r\n"), F.lit("\n"))))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codes import EDGE_KINDS, NODE_KINDS, code
 from ..functions.ids import node_id
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
 
 REPOSITORY = "catalog"
 
@@ -112,10 +115,43 @@ def reverse(edges_df: DataFrame) -> DataFrame:
 
 
 def lookup(nodes_df: DataFrame) -> DataFrame:
-    """(folded, key, node_id, target): name 0, qualified name 1, owning file's path 2; empty keys are left out."""
+    """(folded, key, node_id, target, kind, flags, path): name 0, qualified name 1, owning file's path 2; no empty keys.
+
+    What a hit is ranked by stands beside its key, so that a search reads nothing else before its limit.  Texts of
+    ASCII only need neither composing nor folding by Python; the others are a branch of their own.
+    """
     from ..functions.text import lookup_key
+    from .search import rank_path
 
     targets = F.array(*[F.struct(F.col(c).alias("text"), F.lit(i).cast("tinyint").alias("target")) for i, c in enumerate(("name", "qualified_name", "file_path"))])
-    rows = nodes_df.select("node_id", F.inline(targets)).filter("text is not null and text <> ''")
-    plain = rows.select(F.lit(False).alias("folded"), lookup_key(F.col("text"), False).alias("key"), "node_id", "target")
-    return plain.unionByName(rows.select(F.lit(True).alias("folded"), lookup_key(F.col("text"), True).alias("key"), "node_id", "target"))
+    rows = nodes_df.select("node_id", "kind", "flags", rank_path().alias("path"), F.inline(targets)).filter("text is not null and text <> ''")
+    rest = ["node_id", "target", "kind", "flags", "path"]
+    ascii_ = F.octet_length("text") == F.length("text")
+    out = []
+    for folded in (False, True):
+        plain = F.lower("text") if folded else F.col("text")
+        out.append(rows.filter(ascii_).select(F.lit(folded).alias("folded"), plain.alias("key"), *rest))
+        out.append(rows.filter(~ascii_).select(F.lit(folded).alias("folded"), lookup_key(F.col("text"), folded).alias("key"), *rest))
+    return reduce(DataFrame.unionByName, out)
+
+
+_PUBLISHED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The catalogue as an artifact: built, laid out and written once a session, then read.
+
+    Queries over a graph read such an artifact, as they would that of an indexed tree: edges parted by kind and
+    sorted by their beginning, in both directions, and the dictionary sorted by key.
+    """
+    from ..sources import store
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalogue-{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}"
+        every = edges(spark, sf_dir)
+        made = {"nodes": nodes(spark, sf_dir), "edges": every, "redges": reverse(every)}
+        store.publish(spark, out, made | {"lookup": lookup(made["nodes"])})
+        # a generation never changes: its tables stay open for the session
+        _PUBLISHED[key] = store.open_artifact(spark, out)
+    return _PUBLISHED[key]

@@ -12,10 +12,10 @@ import re
 import unicodedata
 import uuid
 
-from ..codes import CJK_RANGES
+from ..codes import CJK_RANGES, FLAGS, NODE_KINDS
 
 SCHEMA_VERSION = 1
-OK, NOTHING, USAGE, CORRUPT, PARTIAL, INTERNAL = 0, 1, 2, 3, 4, 70
+OK, NOTHING, USAGE, CORRUPT, PARTIAL, IO, INTERNAL = 0, 1, 2, 3, 4, 5, 70
 LIMIT, MOST, BUDGET, LEAST_BUDGET, MOST_BUDGET = 50, 10_000, 8000, 256, 1_000_000
 _CJK = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES) + "]")
 _UNSAFE = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
@@ -36,11 +36,13 @@ def bounded(value: int, default: int, least: int, most: int, name: str) -> int:
     return value
 
 
-def _whole(command: str, generation: str, query: dict, nodes: list[dict], edges: list[dict], omitted: tuple[int, int], diagnostics: list[dict], found: int, truncated: bool) -> str:
-    code = PARTIAL if truncated or any(omitted) else OK if found else NOTHING
+def _whole(command: str, generation: str, query: dict, summary: dict, nodes: list[dict], edges: list[dict], omitted: tuple[int, int, int], diagnostics: list[dict], truncated: bool) -> str:
+    """truncated: a safety limit cut the search itself, so what is counted as omitted is a lower bound."""
+    cut = truncated or any(omitted)
+    code = PARTIAL if cut else OK if summary["found"] else NOTHING
     body = {
-        "schemaVersion": SCHEMA_VERSION, "command": command, "generation": generation, "query": query, "summary": {"found": found}, "nodes": nodes, "edges": edges, "diagnostics": diagnostics,
-        "truncated": truncated or any(omitted), "omittedCount": sum(omitted), "omittedNodeCount": omitted[0], "omittedEdgeCount": omitted[1], "omittedDiagnosticCount": 0, "omittedCountIsLowerBound": truncated, "exitCode": code,
+        "schemaVersion": SCHEMA_VERSION, "command": command, "generation": generation, "query": query, "summary": summary, "nodes": nodes, "edges": edges, "diagnostics": diagnostics,
+        "truncated": cut, "omittedCount": sum(omitted), "omittedNodeCount": omitted[0], "omittedEdgeCount": omitted[1], "omittedDiagnosticCount": omitted[2], "omittedCountIsLowerBound": truncated, "exitCode": code,
     }
     # the estimate counts its own digits: a fixed point
     guess = 0
@@ -51,22 +53,34 @@ def _whole(command: str, generation: str, query: dict, nodes: list[dict], edges:
         guess = max(real, guess + (real < guess))
 
 
-def fit(command: str, generation: str, query: dict, nodes: list[dict], edges: list[dict] | None = None, total: int | None = None, budget: int = 0, truncated: bool = False, diagnostics: list[dict] | None = None) -> str:
-    """The longest prefix of ranked nodes whose exact serialization fits the budget; edges need both ends kept."""
+def fit(
+    command: str, generation: str, query: dict, nodes: list[dict], edges: list[dict] | None = None, total: int | None = None, budget: int = 0, truncated: bool = False,
+    diagnostics: list[dict] | None = None, summary: dict | None = None, total_edges: int | None = None,
+) -> str:
+    """The longest prefix of ranked nodes whose exact serialization fits the budget; edges need both ends kept.
+
+    total and total_edges count what there is, if more than what was handed over; diagnostics that don't fit beside
+    no node at all are left out from the end and counted.
+    """
     budget = bounded(budget, BUDGET, LEAST_BUDGET, MOST_BUDGET, "budget")
     edges, total, diagnostics = edges or [], len(nodes) if total is None else total, diagnostics or []
+    total_edges = len(edges) if total_edges is None else total_edges
+    summary = {"found": total} | (summary or {})
 
-    def made(n: int) -> str:
+    def made(n: int, told: int) -> str:
         kept = nodes[:n]
         ids = {x.get("node_id") for x in kept}
         mine = [e for e in edges if e["src"] in ids and e["dst"] in ids]
-        return _whole(command, generation, query, kept, mine, (total - n, len(edges) - len(mine)), diagnostics, total, truncated)
+        return _whole(command, generation, query, summary, kept, mine, (total - n, total_edges - len(mine), len(diagnostics) - told), diagnostics[:told], truncated)
 
+    told = len(diagnostics)
+    while told and estimate(made(0, told)) > budget:
+        told //= 2
     low, high = 0, len(nodes)
     while low < high:
         middle = (low + high + 1) // 2
-        low, high = (middle, high) if estimate(made(middle)) <= budget else (low, middle - 1)
-    return made(low)
+        low, high = (middle, high) if estimate(made(middle, told)) <= budget else (low, middle - 1)
+    return made(low, told)
 
 
 def error(command: str, message: str, code: int, budget: int = 0) -> str:
@@ -83,8 +97,22 @@ def error(command: str, message: str, code: int, budget: int = 0) -> str:
 
 def line(node: dict) -> str:
     """One node as a line for a terminal; characters that could steer it are replaced."""
-    where = f" {node['file_path']}:{node.get('start_line', 1)}" if node.get("file_path") else ""
-    return _UNSAFE.sub("�", f"{node.get('kind')} {node.get('qualified_name')}{where}")
+    where = f" {node['file_path']}:{node.get('start_line') or 1}" if node.get("file_path") else ""
+    kind = node.get("kind")
+    kind = NODE_KINDS[kind - 1] if isinstance(kind, int) and 1 <= kind <= len(NODE_KINDS) else kind
+    flags = [name for i, name in enumerate(FLAGS) if (node.get("flags") or 0) >> i & 1]
+    match = f" <{('exact', 'prefix', 'substring')[node['strength']]}>" if node.get("strength") in (0, 1, 2) else ""
+    far = f" ({node['distance']})" if node.get("distance") is not None else ""
+    return _UNSAFE.sub("\ufffd", f"{kind} {node.get('qualified_name')}{where}{' [' + ' '.join(flags) + ']' if flags else ''}{match}{far}")
+
+
+def lines(envelope: str) -> str:
+    """An envelope's nodes for a terminal, and what was left out."""
+    whole = json.loads(envelope)
+    out = [line(n) for n in whole["nodes"]]
+    if whole["omittedCount"]:
+        out.append(f"... {'at least ' if whole['omittedCountIsLowerBound'] else ''}{whole['omittedCount']} more")
+    return "\n".join(out)
 
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>

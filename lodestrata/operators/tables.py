@@ -25,9 +25,13 @@ def ordinals(symbols: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def following(rows: DataFrame, key: str, order: list[str], is_note: str, name: str, line: str) -> DataFrame:
-    """Forward as-of join within a key: each note with the first later row that isn't one."""
-    later = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    target = F.first(F.when(~F.expr(is_note), F.struct(F.col(name).alias("n"), F.col(line).alias("l"))), ignorenulls=True).over(later)
+    """Forward as-of join within a key: each note with the first later row that isn't one.
+
+    Rows are looked at from the last to the first, so that the frame only grows: linear in a key's rows.
+    """
+    back = [F.col(c).desc_nulls_last() for c in order]
+    later = Window.partitionBy(key).orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
+    target = F.last(F.when(~F.expr(is_note), F.struct(F.col(name).alias("n"), F.col(line).alias("l"))), ignorenulls=True).over(later)
     return rows.withColumn("__t", target).filter(F.expr(is_note) & F.col("__t").isNotNull()).withColumns({"target": F.col("__t.n"), "target_line": F.col("__t.l")}).drop("__t")
 
 

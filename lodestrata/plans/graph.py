@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as C
 from ..operators import search as S
 from ..operators import traverse as T
+from ..session import table
+from ..sources import store
 
 _U32 = "unhex(substr(printf('%08x', {n}),7,2)||substr(printf('%08x', {n}),5,2)||substr(printf('%08x', {n}),3,2)||substr(printf('%08x', {n}),1,2))"
 
@@ -54,6 +56,12 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def artifact(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, redges, lookup) of the catalogue's artifact."""
+    t = C.published(spark, d)
+    return t["nodes"], t["edges"], t["redges"], t["lookup"]
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -76,12 +84,12 @@ for _kind, _code in (("CONTAINS", 1), ("DECLARES", 4), ("DEFINES", 5), ("GUARDED
 
 @query("node_kind_counts", "SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 def _(spark, d):
-    return C.nodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return artifact(spark, d)[0].groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("edge_kind_counts", "SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def _(spark, d):
-    return C.edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return artifact(spark, d)[1].groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("id_collisions", "SELECT count(*) AS nodes, count(*) - count(DISTINCT node_id) AS collisions FROM nodes")
@@ -92,7 +100,7 @@ def _(spark, d):
 
 @query("lookup_entries", "SELECT target, count(*) AS n, count(DISTINCT key) AS keys FROM keys GROUP BY target")
 def _(spark, d):
-    return C.lookup(C.nodes(spark, d)).filter("not folded").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+    return artifact(spark, d)[3].filter("not folded").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
 def _hits_sql(match: str, key: str, column: str = "key", targets: str = "0, 1, 2") -> str:
@@ -107,8 +115,8 @@ _ORDER = " ORDER BY strength, target, definition, penalty, kind, path, n.node_id
 
 
 def _search(spark, d, needle, limit=50, **how):
-    n = C.nodes(spark, d)
-    return S.ranked(S.hits(C.lookup(n), needle, **how), n, limit)
+    n, _, _, keys = artifact(spark, d)
+    return S.ranked(S.hits(keys, needle, **how), n, limit)
 
 
 @query("search_exact", _hits_sql("key = 'O7'", "'O7'") + _RANKED + _ORDER)
@@ -143,27 +151,16 @@ def _(spark, d):
 
 @query("resolve_unique", "SELECT node_id, kind, qualified_name FROM nodes WHERE name = 'EUROPE' OR qualified_name = 'EUROPE'")
 def _(spark, d):
-    n = C.nodes(spark, d)
-    return S.resolve(C.lookup(n), n, "EUROPE").select("node_id", "kind", "qualified_name")
+    n, _, _, keys = artifact(spark, d)
+    return S.resolve(keys, n, "EUROPE").select("node_id", "kind", "qualified_name")
 
 
 _CUSTOMER = f"(SELECT {_nid(3, 'file', 'file')} FROM cus WHERE c_custkey = 7)"
 
 
-def _customer(spark, d) -> DataFrame:
-    p = C.parts(spark, d)["_orders"]
-    from ..session import table
-
-    nation = C.parts(spark, d)["_nation"]
-    c = table(spark, d, "customer").filter("c_custkey = 7").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    file = F.concat_ws("/", "dir", "c_name")
-    del p
-    return c.select(C._id("File", file, file).alias("node_id"))
-
-
-def _one(df: DataFrame) -> str:
-    row = df.first()
-    return row[0] if row else ""
+def _customer(spark, d) -> list[str]:
+    """The node of one file, found by its name."""
+    return S.named(artifact(spark, d)[3], "Customer#000000007")
 
 
 for _dir, _sql in (
@@ -171,7 +168,7 @@ for _dir, _sql in (
     ("in", "SELECT DISTINCT src AS node_id FROM edges WHERE dst = {c}"),
     ("both", "SELECT dst AS node_id FROM edges WHERE src = {c} UNION SELECT src FROM edges WHERE dst = {c}"),
 ):
-    QUERIES[f"neighbors_{_dir}"] = lambda spark, d, k=_dir: T.neighbors(C.edges(spark, d), _one(_customer(spark, d)), k)
+    QUERIES[f"neighbors_{_dir}"] = lambda spark, d, k=_dir: T.neighbors(artifact(spark, d)[1], "".join(_customer(spark, d)[:1]), k, None, artifact(spark, d)[2])
     SQL[f"neighbors_{_dir}"] = f"WITH {GRAPH} " + _sql.format(c=_CUSTOMER)
 
 
@@ -182,56 +179,63 @@ def _bfs_sql(seeds: str, depth: int, both: bool = True, kinds: str = "") -> str:
 
 _SEED = f"SELECT {_nid(3, 'file', 'file')} AS node_id, 0 AS dist FROM cus WHERE c_custkey = 7"
 for _depth in (1, 2, 3):
-    QUERIES[f"bfs_d{_depth}"] = lambda spark, d, k=_depth: T.distances(C.edges(spark, d), _customer(spark, d), k)
+    QUERIES[f"bfs_d{_depth}"] = lambda spark, d, k=_depth: T.distances(artifact(spark, d)[1], _customer(spark, d), k, redges=artifact(spark, d)[2])
     SQL[f"bfs_d{_depth}"] = f"WITH RECURSIVE {GRAPH}" + _bfs_sql(_SEED, _depth) + " SELECT node_id, distance FROM r"
 
 
 @query("bfs_multi_out", _bfs_sql("SELECT node_id, 0 AS dist FROM nodes WHERE kind = 2 AND name IN ('ASIA', 'EUROPE')", 3, False) + " SELECT node_id, distance FROM r")
 def _(spark, d):
-    seeds = C.nodes(spark, d).filter("kind = 2 and name in ('ASIA', 'EUROPE')")
-    return T.distances(C.edges(spark, d), seeds, 3, "out")
+    n, e, r, _ = artifact(spark, d)
+    return T.distances(e, n.filter("kind = 2 and name in ('ASIA', 'EUROPE')"), 3, "out", redges=r)
 
 
 @query("bfs_kinds", _bfs_sql(_SEED, 2, True, "WHERE kind IN (5, 15)") + " SELECT node_id, distance FROM r")
 def _(spark, d):
-    return T.distances(C.edges(spark, d, ["DEFINES", "GUARDED_BY"]), _customer(spark, d), 2, "both", [5, 15])
+    _, e, r, _ = artifact(spark, d)
+    return T.distances(e, _customer(spark, d), 2, "both", [5, 15], r)
 
 
 @query("bfs_edges", _bfs_sql(_SEED, 2) + " SELECT DISTINCT kind, src, dst FROM edges WHERE src IN (SELECT node_id FROM r WHERE distance < 2) OR dst IN (SELECT node_id FROM r WHERE distance < 2)")
 def _(spark, d):
-    e = C.edges(spark, d)
-    return T.expanded_edges(e, T.distances(e, _customer(spark, d), 2), 2)
+    _, e, r, _ = artifact(spark, d)
+    return T.expanded_edges(e, T.distances(e, _customer(spark, d), 2, redges=r), 2, redges=r)
 
 
 @query("shortest_len", _bfs_sql(_SEED, 6) + f" SELECT distance AS hops FROM r WHERE node_id = {_nid(12, chr(39) * 2, '(SELECT symbol FROM prt WHERE p_partkey = 5)')}")
 def _(spark, d):
-    goal = _one(C.parts(spark, d)["_part"].filter("p_partkey = 5").select(C._id("ConfigSymbol", F.lit(""), F.col("symbol"))))
-    path = T.shortest_path(C.edges(spark, d), _one(_customer(spark, d)), goal, 6)
+    _, e, r, keys = artifact(spark, d)
+    symbol = table(spark, d, "part").filter("p_partkey = 5").select(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))).first()
+    goal = "".join(S.named(keys, symbol[0])[:1]) if symbol else ""
+    path = T.shortest_path(e, "".join(_customer(spark, d)[:1]), goal, 6, redges=r)
     rows = [] if path is None else [(len(path) - 1,)]
     return spark.createDataFrame(rows, "hops int")
 
 
 @query("show_node", f"SELECT n.node_id, n.qualified_name, n.file_path, p.qualified_name AS parent FROM nodes n JOIN edges e ON e.dst = n.node_id AND e.kind = 1 JOIN nodes p ON p.node_id = e.src WHERE n.node_id = {_CUSTOMER}")
 def _(spark, d):
-    n = C.nodes(spark, d)
-    mine = n.join(_customer(spark, d), "node_id", "left_semi").select("node_id", "qualified_name", "file_path")
-    up = C.edges(spark, d, ["CONTAINS"]).select(F.col("dst").alias("node_id"), "src")
-    return mine.join(up, "node_id").join(n.select(F.col("node_id").alias("src"), F.col("qualified_name").alias("parent")), "src").select("node_id", "qualified_name", "file_path", "parent")
+    n, _, r, keys = artifact(spark, d)
+    ids = S.named(keys, "Customer#000000007")
+    # one node and its parents: their ids are known before the nodes are read
+    up = [(x["src"], x["dst"]) for x in S.by_ids(r.filter("kind = 1"), ids, "src").select("src", "dst").collect()]
+    by = {x["node_id"]: x for x in S.by_ids(n, [*ids, *(p for _, p in up)]).select("node_id", "qualified_name", "file_path").collect()}
+    return S.local(spark, [(*by[c], by[p]["qualified_name"]) for c, p in up], "node_id string, qualified_name string, file_path string, parent string")
 
 
 @query("containing_chain", f", up AS (SELECT {_CUSTOMER} AS node_id, 0 AS dist UNION SELECT src, dist + 1 FROM up JOIN edges ON dst = up.node_id AND kind = 1) SELECT node_id, dist AS distance FROM up")
 def _(spark, d):
-    return T.distances(C.edges(spark, d, ["CONTAINS"]), _customer(spark, d), 8, "in")
+    _, e, r, _ = artifact(spark, d)
+    return T.distances(e, _customer(spark, d), 8, "in", [1], r)
 
 
 for _in, _end in ((False, "src"), (True, "dst")):
-    QUERIES[f"degree_{'in' if _in else 'out'}"] = lambda spark, d, k=_in: T.degrees(C.edges(spark, d), k)
+    QUERIES[f"degree_{'in' if _in else 'out'}"] = lambda spark, d, k=_in: T.degrees(artifact(spark, d)[1], k)
     SQL[f"degree_{'in' if _in else 'out'}"] = f"WITH {GRAPH} SELECT kind, {_end} AS node_id, count(*) AS degree FROM edges GROUP BY kind, {_end}"
 
 
 @query("overview_aggregate", "SELECT n.node_id, n.kind, n.qualified_name, CASE WHEN n.kind = 1 THEN 0 ELSE len(string_split(n.qualified_name, '/')) END AS distance, count(e.dst) AS weight FROM nodes n LEFT JOIN edges e ON e.src = n.node_id AND e.kind = 1 WHERE n.kind IN (1, 2) GROUP BY ALL")
 def _(spark, d):
-    return T.overview(C.nodes(spark, d), C.edges(spark, d, ["CONTAINS"]))
+    n, e, _, _ = artifact(spark, d)
+    return T.overview(n, e)
 
 
 _PACK = "".join(
@@ -249,36 +253,43 @@ _PACK = "".join(
     + ", m AS (SELECT r.node_id, distance, row_number() OVER (ORDER BY distance, kind, r.node_id) + (SELECT count(*) FROM core) AS pos FROM r JOIN nodes n ON n.node_id = r.node_id WHERE distance > 0) SELECT node_id, 0 AS distance, pos FROM core UNION ALL SELECT node_id, distance, pos FROM m WHERE pos <= 20",
 )
 def _(spark, d):
-    n = C.nodes(spark, d)
-    return T.context_pack(C.lookup(n), n, C.edges(spark, d), ["O77", "Supplier#00000001"], 20, 1)
+    n, e, r, keys = artifact(spark, d)
+    return T.context_pack(keys, n, e, ["O77", "Supplier#00000001"], 20, 1, r)
 
 
 @query("reverse_edges", "SELECT kind, dst AS src, src AS dst FROM edges")
 def _(spark, d):
-    return C.reverse(C.edges(spark, d))
+    """As stored."""
+    return artifact(spark, d)[2].select("kind", "src", "dst")
 
 
-@query("transpose_check", "SELECT 0 AS missing")
+@query("transpose_check", "SELECT kind, count(*) AS edges, 0 AS issues FROM edges GROUP BY kind")
 def _(spark, d):
-    e = C.edges(spark, d)
-    back = C.reverse(C.reverse(e))
-    return e.exceptAll(back).unionByName(back.exceptAll(e)).agg(F.count("*").alias("missing"))
+    """Of each kind the stored edges, and those whose stored reverse is missing or too many."""
+    _, e, r, _ = artifact(spark, d)
+    bad = store.transpose_issues(e, r).groupBy("kind").agg(F.count("*").cast("int").alias("issues"))
+    return e.groupBy("kind").agg(F.count("*").alias("edges")).join(bad, "kind", "left").select("kind", "edges", F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
 @query("dangling_edges", "SELECT count(*) AS dangling FROM edges WHERE src NOT IN (SELECT node_id FROM nodes) OR dst NOT IN (SELECT node_id FROM nodes)")
 def _(spark, d):
-    e, n = C.edges(spark, d), C.nodes(spark, d).select("node_id")
+    n, e, _, _ = artifact(spark, d)
     ends = e.select(F.col("src").alias("node_id")).unionByName(e.select(F.col("dst").alias("node_id"))).distinct()
     return ends.join(n, "node_id", "left_anti").agg(F.count("*").alias("dangling"))
 
 
-@query("lookup_coverage", "SELECT 0 AS missing, 0 AS extra")
+@query(
+    "lookup_coverage",
+    ", w AS (SELECT false AS folded, key, node_id, target FROM keys UNION ALL SELECT true, lower(key), node_id, target FROM keys) SELECT folded, target, count(*) AS postings, count(DISTINCT key) AS keys, 0 AS missing, 0 AS extra FROM w GROUP BY folded, target",
+)
 def _(spark, d):
-    n = C.nodes(spark, d)
-    have = C.lookup(n).filter("not folded").select("key", "node_id", "target")
-    fields = F.array(*[F.struct(F.col(c).alias("key"), F.lit(i).cast("tinyint").alias("target")) for i, c in enumerate(("name", "qualified_name", "file_path"))])
-    want = n.select("node_id", F.inline(fields)).filter("key <> ''").select("key", "node_id", "target")
-    return want.exceptAll(have).agg(F.count("*").alias("missing")).crossJoin(have.exceptAll(want).agg(F.count("*").alias("extra")))
+    """The stored dictionary, both regions, against one made anew from the stored nodes."""
+    n, _, _, keys = artifact(spark, d)
+    missing, extra = store.lookup_issues(n, keys)
+    per = keys.groupBy("folded", "target").agg(F.count("*").alias("postings"), F.countDistinct("key").alias("keys"))
+    for name, df in (("missing", missing), ("extra", extra)):
+        per = per.join(df.groupBy("folded", "target").agg(F.count("*").cast("int").alias(name)), ["folded", "target"], "left")
+    return per.select("folded", "target", "postings", "keys", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra"))
 
 
 @query("dense_index", "SELECT node_id, row_number() OVER (ORDER BY CASE kind WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 12 THEN 4 ELSE 3 END, coalesce(file_path, qualified_name), qualified_name) - 1 AS dense_idx FROM nodes")

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from ..codes import FLAGS
 from ..functions import paths as P
 from ..functions import text as X
+from ..operators import build as B
+from ..operators import search as S
 from ..operators import tables as T
 from ..session import table
 
+from . import answers as A
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -135,12 +139,14 @@ def _(s, d):
     return files(s, d).filter("content_sha256 is not null").select("content_sha256", "path").distinct().groupBy("content_sha256").agg(F.count("*").alias("paths")).filter("paths > 1")
 
 
-@query("freshness_join", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT path, max(content_sha256) AS v FROM source_files WHERE file_idx % 7 <> 0 GROUP BY path) a FULL JOIN (SELECT path, max(CASE WHEN file_idx % 5 = 0 THEN NULL ELSE content_sha256 END) AS v FROM source_files WHERE file_idx % 11 <> 0 GROUP BY path) b ON a.path = b.path")
+@query("freshness_join", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT path, max(content_sha256) AS v FROM source_files GROUP BY path) a FULL JOIN (SELECT path, max(content_sha256) AS v FROM (SELECT path, content_sha256 FROM source_files UNION ALL SELECT target, NULL FROM ref_candidates WHERE edge_kind IN (2, 3) UNION ALL SELECT path, 'g' FROM source_files WHERE flags & 8 <> 0) GROUP BY path) b ON a.path = b.path")
 def _(s, d):
-    f = files(s, d)
-    was = f.filter("file_idx % 7 <> 0").groupBy("path").agg(F.max("content_sha256").alias("v"))
-    now = f.filter("file_idx % 11 <> 0").groupBy("path").agg(F.max(F.when(F.col("file_idx") % 5 != 0, F.col("content_sha256"))).alias("v"))
-    return T.full_difference(was, now, "path", "v")
+    """The recorded files against a state in which generated ones have other contents and what is included is there too."""
+    f = files(s, d).select("path", "content_sha256")
+    included = refs(s, d).filter("edge_kind in (2, 3)").select(F.col("target").alias("path"), F.lit(None).cast("string").alias("content_sha256"))
+    made = files(s, d).filter(F.col("flags").bitwiseAND(8) != 0).select("path", F.lit("g").alias("content_sha256"))
+    state = lambda x: x.groupBy("path").agg(F.max("content_sha256").alias("v"))
+    return T.full_difference(state(f), state(f.unionByName(included).unionByName(made)), "path", "v")
 
 
 @query("path_parts", "SELECT DISTINCT path, string_split(path, '/')[-1] AS name, regexp_replace(path, '/?[^/]*$', '') AS parent, len(string_split(path, '/')) AS depth, lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]+)$', 1)) AS ext FROM source_files")
@@ -149,7 +155,20 @@ def _(s, d):
     return files(s, d).select("path", P.file_name(p).alias("name"), P.parent(p).alias("parent"), P.depth(p).alias("depth"), P.extension(p).alias("ext")).distinct()
 
 
-@query("path_classes")
+#: Languages by extension and by name, and the names that make flags, as the oracle has them: values of its own.
+_BY_EXTENSION = "c 2 h 3 cc 4 cpp 4 cxx 4 c++ 4 hh 5 hpp 5 hxx 5 inc 5 ipp 5 m 6 mm 7 rs 8 py 9 pyi 9 js 10 mjs 10 cjs 10 jsx 10 ts 11 mts 11 cts 11 java 12 go 13 cs 14 fs 15 fsx 15 s 16 asm 16 sh 17 bash 17 zsh 17 mk 18 cmake 19 gn 20 gni 20 yml 22 yaml 22 json 23 jsonc 23 toml 24 xml 25 md 26 markdown 26 txt 1 tsx 28 fsi 29".split()
+_BY_NAME = "Makefile 18 makefile 18 GNUmakefile 18 Kbuild 18 CMakeLists.txt 19 BUILD.gn 20 BUILD 20 Kconfig 21 OWNERS 27 MAINTAINERS 27 CODEOWNERS 27".split()
+_cases = lambda column, pairs: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in zip(pairs[::2], pairs[1::2], strict=True)) + " END"
+PATH_CLASSES = f"""WITH p AS (SELECT DISTINCT path, string_split(path, '/')[-1] AS name, lower(string_split(path, '/')[-1]) AS low FROM source_files),
+q AS (SELECT *, CASE WHEN strpos(name[2:], '.') > 0 AND name NOT LIKE '%.' THEN string_split(low, '.')[-1] ELSE '' END AS ext, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs FROM p)
+SELECT path, coalesce({_cases("name", _BY_NAME)}, CASE WHEN name LIKE 'Kconfig.%' THEN 21 WHEN length(name) > 2 AND name LIKE '%.C' THEN 4 WHEN length(name) > 2 AND name LIKE '%.H' THEN 5 END, {_cases("ext", _BY_EXTENSION)}, 0) AS language,
+ (CASE WHEN list_has_any(dirs, ['test', 'tests', 'testing', '__tests__', 'spec']) OR starts_with(low, 'test_') OR contains(low, '_test.') OR contains(low, '.test.') OR contains(low, '_unittest.') THEN 4 ELSE 0 END)
+ + (CASE WHEN ends_with(low, '.g.cs') OR ends_with(low, '.generated.cs') OR ends_with(low, '.pb.go') OR ends_with(low, '.pb.cc') OR ends_with(low, '.pb.h') THEN 8 ELSE 0 END)
+ + (CASE WHEN list_has_any(dirs, ['third_party', 'thirdparty', 'vendor', 'vendored', 'node_modules', 'external', 'externals']) THEN 16 ELSE 0 END) AS flags,
+ NOT (path = '' OR starts_with(path, '/') OR ends_with(path, '/') OR contains(path, '//') OR regexp_matches(path, '[\x00-\x1f\x7f\\\\]') OR list_has_any(string_split(path, '/'), ['.', '..']) OR len(string_split(path, '/')) > 256) AS valid FROM q"""
+
+
+@query("path_classes", PATH_CLASSES)
 def _(s, d):
     return files(s, d).select("path", P.language(F.col("path")).alias("language"), P.flags(F.col("path")).alias("flags"), P.is_valid(F.col("path")).alias("valid")).distinct()
 
@@ -165,7 +184,10 @@ def _(s, d):
     return docs(s, d).filter("text is not null").select("doc_id", X.line_count(F.col("text")).alias("lines"))
 
 
-@query("token_estimate", "SELECT doc_id, (ceil(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 4) + k + ceil((length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) - k) / 2))::BIGINT AS tokens FROM (SELECT *, length(text) - length(regexp_replace(text, '" + X.CJK + "', '', 'g')) AS k FROM documents WHERE text IS NOT NULL)")
+_WORD_SCALARS = "[\\x{2E80}-\\x{2EFF}\\x{3040}-\\x{312F}\\x{3130}-\\x{318F}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A960}-\\x{A97F}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFD}]"
+
+
+@query("token_estimate", "SELECT doc_id, (ceil(a / 4) + k + ceil((length(text) - a - k) / 2))::BIGINT AS tokens FROM (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS a, length(text) - length(regexp_replace(text, '" + _WORD_SCALARS + "', '', 'g')) AS k FROM documents WHERE text IS NOT NULL)")
 def _(s, d):
     return docs(s, d).filter("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
@@ -195,7 +217,8 @@ def _(s, d):
     return symbols(s, d).select("qualified_name", X.short_name(F.col("qualified_name")).alias("short")).distinct()
 
 
-@query("guard_names")
+@query("guard_names", r"""WITH c AS (SELECT DISTINCT cond FROM source_symbols WHERE cond IS NOT NULL), w AS (SELECT cond, unnest(regexp_extract_all(regexp_replace(cond, '\b[0-9][0-9A-Za-z_.]*', ' ', 'g'), '[A-Za-z_][A-Za-z0-9_]*')) AS word, generate_subscripts(regexp_extract_all(regexp_replace(cond, '\b[0-9][0-9A-Za-z_.]*', ' ', 'g'), '[A-Za-z_][A-Za-z0-9_]*'), 1) AS pos FROM c),
+f AS (SELECT cond, word, min(pos) AS pos FROM w WHERE word <> 'defined' GROUP BY cond, word) SELECT c.cond, coalesce(string_agg(word, ',' ORDER BY pos), '') AS names FROM c LEFT JOIN f USING (cond) GROUP BY c.cond""")
 def _(s, d):
     return symbols(s, d).filter("cond is not null").select("cond", F.array_join(X.guard_names(F.col("cond")), ",").alias("names")).distinct()
 
@@ -205,19 +228,53 @@ def _(s, d):
     return symbols(s, d).select("name", X.display_width(F.col("name")).alias("width"), X.truncate_to_width(F.col("name"), 12).alias("cut")).distinct()
 
 
-@query("note_scan", "SELECT doc_id, len(regexp_extract_all(text, '(?m)\\b(?:TODO|FIXME|NOTE|HACK|SAFETY|XXX):')) AS notes, regexp_matches(lower(substr(text, 1, 8192)), 'generated by|do not edit|autogenerated') AS generated FROM documents WHERE text IS NOT NULL")
+@query("note_scan", "SELECT file_idx, row_number() OVER (PARTITION BY file_idx ORDER BY qualified_name) AS line, 'NOTE' AS tag, 'NOTE: ' || rtrim(substr(qualified_name, 1, 256)) AS note FROM (SELECT DISTINCT file_idx, qualified_name FROM source_symbols WHERE qualified_name IS NOT NULL)")
 def _(s, d):
-    t = F.col("text")
-    notes = F.regexp_count(t, F.lit(r"\b(?:TODO|FIXME|NOTE|HACK|SAFETY|XXX):"))
-    return docs(s, d).filter("text is not null").select("doc_id", notes.alias("notes"), F.regexp_like(F.lower(F.substring(t, 1, 8192)), F.lit("generated by|do not edit|autogenerated")).alias("generated"))
+    """Notes that the line scanner finds where every symbol of a file has one behind a statement."""
+    names = symbols(s, d).filter("qualified_name is not null").select("file_idx", "qualified_name").distinct()
+    said = F.transform(F.array_sort(F.collect_list("qualified_name")), lambda q: F.concat(F.lit('x = "// TODO: no"; /* NOTE : '), q, F.lit("  */")))
+    texts = names.groupBy("file_idx").agg(F.array_join(said, "\n").alias("text"))
+    return A.scanned(texts, "file_idx", "text", "c").filter("kind = 'Note'").select("file_idx", "line", F.col("name").alias("tag"), F.col("qualified_name").alias("note"))
 
 
-@query("budget_prefix", "SELECT doc_id, running FROM (SELECT doc_id, sum(n) OVER (ORDER BY n, doc_id)::BIGINT AS running FROM (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0)) WHERE running <= 8000")
+@query("budget_prefix", "SELECT doc_id, running FROM (SELECT doc_id, sum(n) OVER (ORDER BY n, doc_id)::BIGINT AS running FROM (SELECT doc_id, (ceil(a / 4) + k + ceil((length(text) - a - k) / 2))::BIGINT AS n FROM (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS a, length(text) - length(regexp_replace(text, '" + _WORD_SCALARS + "', '', 'g')) AS k FROM documents WHERE length(text) > 0))) WHERE running <= 8000")
 def _(s, d):
-    rows = docs(s, d).filter("length(text) > 0").select("doc_id", F.length("text").alias("n"))
+    """The shortest documents that fit a budget of tokens together."""
+    rows = docs(s, d).filter("length(text) > 0").select("doc_id", X.token_estimate(F.col("text")).alias("n"))
     return T.budget_prefix(rows, ["n", "doc_id"], "n", 8000).select("doc_id", "running")
 
 
+@query("name_limits", "SELECT DISTINCT qualified_name, substr(qualified_name, 1, 12) AS cut, length_grapheme(qualified_name) AS clusters FROM source_symbols WHERE qualified_name IS NOT NULL")
+def _(s, d):
+    q = F.col("qualified_name")
+    return symbols(s, d).filter("qualified_name is not null").select("qualified_name", X.name_of(q, 12).alias("cut"), X.grapheme_count(q).alias("clusters")).distinct()
+
+
+@query("tier_counters", "SELECT count_if(language IN (2, 3, 4, 5) AND encoding < 11)::BIGINT AS syntax, count_if(language NOT IN (2, 3, 4, 5) AND encoding < 11)::BIGINT AS lines, count_if(encoding >= 11)::BIGINT AS not_extracted FROM (SELECT coalesce(language, 0) AS language, encoding FROM source_files)")
+def _(s, d):
+    """How far files of their language and encoding are looked into."""
+    language = F.coalesce("language", F.lit(0))
+    tier = F.when(F.col("encoding") >= 11, 0).when(language.isin(2, 3, 4, 5), 2).otherwise(1)
+    return B.tiers(files(s, d).withColumn("tier", tier))
+
+
+@query("reference_order", "SELECT source, edge_kind, start_byte, target, qualifier, row_number() OVER (PARTITION BY source ORDER BY edge_kind, start_byte, target, coalesce(qualifier, '')) - 1 AS pos FROM (SELECT DISTINCT source, edge_kind, start_byte, target, qualifier FROM ref_candidates)")
+def _(s, d):
+    """References in their order within a source; text by its UTF-16 units."""
+    rows = refs(s, d).select("source", "edge_kind", "start_byte", "target", "qualifier").distinct()
+    order = ["edge_kind", "start_byte", S.utf16(F.col("target")), S.utf16(F.coalesce("qualifier", F.lit("")))]
+    return T.ordinals(rows, ["source"], order).withColumnRenamed("ordinal", "pos")
+
+
+@query("line_offsets", "SELECT corpus_id, sum(n) AS sum_of_starts, count(*) AS lines, max(n) AS last_start FROM (SELECT corpus_id, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY corpus_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM (SELECT corpus_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT corpus_id, any_value(text) AS text FROM corpus_docs WHERE text IS NOT NULL GROUP BY corpus_id))) GROUP BY corpus_id")
+def _(s, d):
+    """Where each line of a text begins, in bytes: their number, their sum and the last."""
+    t = table(s, d, "corpus_docs").filter("text is not null").select("corpus_id", "text").dropDuplicates(["corpus_id"])
+    starts = t.select("corpus_id", X.line_starts(F.col("text")).alias("at"))
+    total = F.aggregate("at", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return starts.select("corpus_id", total.alias("sum_of_starts"), F.size("at").cast("bigint").alias("lines"), F.element_at("at", -1).alias("last_start"))
+
+
 @query("refs_late", "SELECT source, target, line, start_byte, epoch_us(scanned_at) AS scanned_us, epoch_us(loaded_at) AS loaded_us FROM ref_candidates WHERE loaded_at > scanned_at + INTERVAL 2 DAY")
 def _(s, d):
     return refs(s, d).filter("loaded_at > scanned_at + interval 2 day").select("source", "target", "line", "start_byte", F.unix_micros("scanned_at").alias("scanned_us"), F.unix_micros("loaded_at").alias("loaded_us"))

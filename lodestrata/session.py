@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,10 +29,15 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Only a local session, whose tasks all run on this machine, may go without one and gets a temporary folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lodestrata-checkpoint"))
     return named or str(sc._jsc.sc().getCheckpointDir().get())
 

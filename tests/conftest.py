@@ -14,4 +14,4 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from lodestrata.session import local_session
 
-    return local_session(4, 4, "4g")
+    return local_session(8, 4, "6g")
