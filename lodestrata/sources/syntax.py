@@ -540,7 +540,7 @@ class _Reader:
             if alias is not None:
                 self.close(int(alias.text), end)
             for k, part in enumerate(_split(rest)):
-                named = _declarator(part if k or body is not None else part, typedef=True)
+                named = _declarator(part, typedef=True, more=k > 0 or body is not None)
                 if named:
                     name = part[named[0]].text
                     if name != inner and not (alias is not None and self.symbols[int(alias.text)].name == normal(name)):
