@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,12 +126,13 @@ def lookup(nodes_df: DataFrame) -> DataFrame:
     rows = nodes_df.select("node_id", "kind", "flags", rank_path().alias("path"), F.inline(targets)).filter("text is not null and text <> ''")
     rest = ["node_id", "target", "kind", "flags", "path"]
     ascii_ = F.octet_length("text") == F.length("text")
-    out = []
-    for folded in (False, True):
-        plain = F.lower("text") if folded else F.col("text")
-        out.append(rows.filter(ascii_).select(F.lit(folded).alias("folded"), plain.alias("key"), *rest))
-        out.append(rows.filter(~ascii_).select(F.lit(folded).alias("folded"), lookup_key(F.col("text"), folded).alias("key"), *rest))
-    return reduce(DataFrame.unionByName, out)
+
+    def both(df: DataFrame, plain: Column, folded: Column) -> DataFrame:
+        regions = F.array(F.struct(F.lit(False).alias("folded"), plain.alias("key")), F.struct(F.lit(True).alias("folded"), folded.alias("key")))
+        return df.select(*rest, F.inline(regions)).select("folded", "key", *rest)
+
+    other = rows.filter(~ascii_).select(*rest, lookup_key(F.col("text"), False).alias("__plain"), lookup_key(F.col("text"), True).alias("__folded"))
+    return both(rows.filter(ascii_), F.col("text"), F.lower("text")).unionByName(both(other, F.col("__plain"), F.col("__folded")))
 
 
 _PUBLISHED: dict[tuple[str, str], dict[str, DataFrame]] = {}

@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
@@ -277,3 +277,34 @@ def _pivoted(rows: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFr
     last = F.filter("__rest", lambda x, i: ~F.coalesce(F.get("__rest", i + 1)["field"] == x["field"], F.lit(False)))
     entries = F.transform(last, lambda x: F.struct(x["field"].alias("key"), x["value"].alias("value")))
     return out.select(*keys, *fields.values(), F.map_from_entries(entries).alias("rest"), "n_scalars")
+
+
+def schema(triples_df: DataFrame, most_fields: int = 200) -> DataFrame:
+    """(grp, field, column, nodes): the columns of each group's own table, the most frequent ``most_fields`` pointers.
+
+    What lies beyond stays in the map ``rest`` of that table, so objects with keys of their own, such as ids, don't
+    make ever wider tables.
+    """
+    counts = triples_df.filter("field is not null").groupBy("grp", "field").agg(F.count("*").alias("nodes"))
+    counts = counts.unionByName(triples_df.filter("kind = 'node'").select("grp").distinct().select("grp", F.lit(None).cast("string").alias("field"), F.lit(0).cast("bigint").alias("nodes")))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("nodes"), "field"))
+    kept = counts.withColumn("place", place).filter(F.col("place") <= most_fields).drop("place")
+    column = F.lower(F.regexp_replace(F.regexp_replace("field", r"^/", ""), r"[^0-9A-Za-z]+", "_"))
+    column = F.when(column.isin("", "rest", "n_scalars", "grp", "node_path", "parent_path", "ordinal"), F.concat(F.lit("value_"), column)).otherwise(column)
+    # fields whose names fall together are numbered
+    nth = F.row_number().over(Window.partitionBy("grp", column).orderBy("field"))
+    return kept.withColumn("__nth", nth).select("grp", "field", F.when(F.col("__nth") > 1, F.concat_ws("_", column, F.col("__nth"))).otherwise(column).alias("column"), "nodes")
+
+
+def group_tables(triples_df: DataFrame, id_column: str, most_fields: int = 200) -> dict[str, DataFrame]:
+    """Each group found, pivoted into a table of its own with all its scalars and its parent link.
+
+    Only the names of groups and fields come to the driver, as the schemas of the tables need them.  The table of the
+    records themselves stands under ''.  A column named like the id gets ``value_`` before it.
+    """
+    names: dict[str, dict[str, str]] = {}
+    for r in schema(triples_df, most_fields).orderBy("grp", F.desc("nodes"), "field").collect():
+        fields = names.setdefault(r["grp"], {})
+        if r["field"] is not None:
+            fields[r["field"]] = r["column"] if r["column"] != id_column.lower() else f"value_{r['column']}"
+    return {g: record_table(triples_df, id_column, f) if g == "" else flat_table(triples_df, id_column, F.col("grp") == g, f) for g, f in names.items()}

@@ -73,5 +73,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.groups(_triples(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_params, p1_polled, p1_constants, p1_others, p1_groups)}
+def p1_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the table that each group is pivoted into by ``nested.group_tables``."""
+    return nested.schema(_triples(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_schema, p1_found, p1_events, p1_params, p1_polled, p1_constants, p1_others, p1_groups)}
 SQL: dict[str, str] = {}

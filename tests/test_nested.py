@@ -95,6 +95,18 @@ def test_tables_keep_every_scalar(spark, tmp_path):
     assert got == want | {("", "2")} and len(want) == 15
 
 
+def test_a_table_for_each_group(spark):
+    record = {"v": 1, "id": 7, "e": [{"t": 5, "p": {"l": [{"h": "a", "h-": "b"}, {"h": None}]}}, {}], "big": [{str(k): k for k in range(9)}]}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, json.dumps({"e": [{"t": 6}]})), (3, None)], "id int, record string")
+    tables = nested.group_tables(nested.triples(df, "id", "record").cache(), "id", most_fields=4)
+    assert tables.keys() == {"", "/e/*", "/e/*/p/l/*", "/big/*"}
+    assert [(r.id, r.v, r.value_id) for r in tables[""].collect()] == [(1, "1", "7")]
+    assert sorted((r.id, r.node_path, r.t) for r in tables["/e/*"].collect()) == [(1, "/e/0", "5"), (1, "/e/1", None), (2, "/e/0", "6")]
+    assert sorted((r.parent_path, r.h, r.h_) for r in tables["/e/*/p/l/*"].collect() if r.h) == [("/e/0", "a", "b")]
+    wide = tables["/big/*"].first()
+    assert len(wide.rest) == 5 and {wide[c] for c in wide.asDict() if c in "0123"} == {"0", "1", "2", "3"}
+
+
 def test_stream(spark, tmp_path):
     from lodestrata.streaming import captures
 
