@@ -122,14 +122,17 @@ def classes(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     rows = None
     for name, (df, id_column, text_column) in tables.items():
         mine = forms(df, id_column, text_column).filter(F.trim("form") != "").filter(F.regexp_like("form", F.lit(r"\S")))
-        mine = mine.select(F.lit(name).alias("src_table"), F.col(id_column).cast("bigint").alias("id"), F.sha2("form", 256).alias("form"), F.sha2(text_column, 256).alias("body"))
+        mine = mine.select(F.lit(name).alias("src_table"), F.col(id_column).cast("bigint").alias("id"), F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2(text_column, 256)).alias("body"))
         rows = mine if rows is None else rows.unionByName(mine)
     # the digests are read several times below: written once, the texts aren't folded again for each
     ensure_checkpoint_dir(rows.sparkSession)
     rows = rows.filter("id is not null").distinct().checkpoint()
+    several = rows.groupBy("src_table", "form").agg(F.min("body").alias("x"), F.max("body").alias("y")).filter("x <> y").select("src_table", "form")
+    # few rows look like another: what follows is small
+    rows = rows.join(several, ["src_table", "form"], "left_semi")
     bodies = rows.groupBy("src_table", "form", "body").agg(F.count("*").alias("n"))
-    several = bodies.groupBy("src_table", "form").agg(F.min("body").alias("x"), F.max("body").alias("y")).filter("x <> y").select("src_table", "form")
-    return rows.join(bodies.join(several, ["src_table", "form"], "left_semi"), ["src_table", "form", "body"]).select("src_table", "id", "form", "body", "n")
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.join(bodies, ["src_table", "form", "body"]).select("src_table", "id", hexed("form"), hexed("body"), "n")
 
 
 def pairs(tables: dict[str, tuple[DataFrame, str, str]], class_rows: int = CLASS_ROWS) -> DataFrame:
