@@ -110,7 +110,7 @@ def test_a_table_for_each_group(spark):
 def test_stream(spark, tmp_path):
     from lodestrata.streaming import captures
 
-    rows = spark.createDataFrame([(1, '{"a":[{}]}'), (1, '{"a":[{}]}'), (2, '[{"b":[{}]}]')], "capture_id bigint, record string").withColumn("received_at", F.current_timestamp())
+    rows = spark.createDataFrame([(1, '{"a":[{}]}'), (1, '{"a":[{}]}'), (2, '[{"b":[{}]}]'), (1, '{"a":[{},{}]}'), (1, None)], "capture_id bigint, record string").withColumn("received_at", F.current_timestamp())
     rows.write.parquet(str(tmp_path / "in"))
     captures.write(captures.node_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
